@@ -1,0 +1 @@
+"""Column functions. Empty until there is an inventory to build from (README)."""

@@ -1,0 +1 @@
+"""Relational operators. Empty until there is an inventory to build from (README)."""

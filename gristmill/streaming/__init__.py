@@ -1,0 +1 @@
+"""Streaming operators. Empty until there is an inventory to build from (README)."""
