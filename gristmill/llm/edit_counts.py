@@ -36,13 +36,12 @@ def leaves(text: str, size: int = LEAF) -> list[str]:
 class CountTree:
     """Sums of (code points, tokens) over leaf slots, as an implicit binary tree; slots that edits empty stay, with sums of 0."""
 
-    def __init__(self, text: str, count: Callable[[str], int], size: int = LEAF):
-        self.count, self.encoded = count, 0
-        self.leaf = leaves(text, size) or [""]
-        self.base = 1 << (len(self.leaf) - 1).bit_length()
+    def __init__(self, leaf: list[str], counts: list[int], count: Callable[[str], int]):
+        self.leaf, self.count, self.encoded = leaf, count, 0
+        self.base = 1 << (len(leaf) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        for k, part in enumerate(self.leaf):
-            self.chars[self.base + k], self.tokens[self.base + k] = len(part), count(part)
+        self.chars[self.base : self.base + len(leaf)] = map(len, leaf)
+        self.tokens[self.base : self.base + len(leaf)] = counts
         for node in range(self.base - 1, 0, -1):
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
@@ -121,10 +120,12 @@ def edit_counts(docs: DataFrame, edits: Edits, path: str, inputs: Sequence[str]
     names = ("n_tokens", "n_tokens_edited", "n_chars_edited", "n_edits", "leaves", "encoded_again")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        count, rows = encoder(path).count, []
-        for values in zip(*(batch.column(k) for k in range(1, batch.num_columns)), strict=True):
-            text, *rest = (v.as_py() for v in values)
-            tree = CountTree(text, count)
+        encode, rows = encoder(path), []
+        texts, *others = (batch.column(k).to_pylist() for k in range(1, batch.num_columns))
+        parts = [leaves(t) or [""] for t in texts]
+        counts = map(len, encode.encode_batch([p for own in parts for p in own]))
+        for text, leaf, *rest in zip(texts, parts, *others, strict=True):
+            tree = CountTree(leaf, [next(counts) for _ in leaf], encode.count)
             before, made = tree.total, 0
             for start, end, new in edits(text, *rest):
                 tree.edit(start, end, new)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -68,13 +69,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, end_id.to_bytes(4, "little")
+        end = np.array([end_id], np.uint32)
         out: tuple[list, ...] = ([], [], [], [], [])
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encode(text.as_py()) + end
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+        for doc_id, own in zip(batch.column(0).to_pylist(), encoder(path).encode_batch(batch.column(1).to_pylist()), strict=True):
+            ids = np.concatenate((own, end))
+            for k, at in enumerate(range(0, len(ids), capacity)):
+                part = ids[at : at + capacity]
+                for column, value in zip(out, (doc_id, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out[0], arrow), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=[id_column, "piece", "start", "length", "ids_crc32"]

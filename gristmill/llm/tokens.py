@@ -1,15 +1,33 @@
 """Token ids of whole texts, chunk by chunk.
 
-Blank, tab and line ends part texts into chunks. The tokenizer drops white space and never joins what it parts, so that
-a text's ids are its chunks' ids in order; each task encodes a chunk once and keeps its ids in a bounded cache.
+Blank, tab and line ends part texts into chunks, and so does the place between a letter and the marks that end its
+chunk. The tokenizer drops white space and never joins what these part, so that a text's ids are its chunks' ids in
+order; each worker encodes a chunk once and keeps its ids in a bounded cache. ASCII letters are lower-cased first, which
+the tokenizer does too, where that can't change how the text composes.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
+from unicodedata import is_normalized
 
-CACHE = 300_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+CACHE = 1_000_000
+#: Code points that are encoded at once.
+AT_ONCE = 16_000_000
+MARKS = r".,;:!?*#%$&"
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The letters that byte-level pre-tokenizers write bytes as: the byte's own where it shows, else the next from 256 on.
+BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def vocabulary_path(name: str) -> str:
@@ -19,35 +37,90 @@ def vocabulary_path(name: str) -> str:
 
 
 class ChunkEncoder:
-    """ids(chunks): little-endian unsigned 32-bit ids of each chunk. The cache starts anew when it is full."""
+    """Little-endian unsigned 32-bit ids, as bytes. The cache starts anew when it is full."""
 
     def __init__(self, path: str, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        # a lower-case word in its composed form is what the normalizer and the pre-tokenizer leave as it is, but for its bytes' names
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(Path(path).read_text()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def ids(self, chunks: list[str]) -> list[bytes]:
+    def prepared(text: str) -> str:
+        """With blanks alone between chunks, ASCII letters in lower case where the text can't compose otherwise then."""
+        low = text.encode().lower().decode()
+        if not low.isascii() and not (is_normalized("NFC", text) and is_normalized("NFC", low)):
+            low = text
+        return low.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+        plain = [c for c in new if c.isalpha() and c == c.lower() and is_normalized("NFC", c)]
+        named = [c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_NAMES) for c in plain]
+        other = list(new.difference(plain))
+        for chunks, inputs, tokenizer in ((plain, named, self.bare), (other, other, self.tokenizer)):
+            for at in range(0, len(chunks), 5000):
+                found = tokenizer.encode_batch_fast(inputs[at : at + 5000], add_special_tokens=False)
+                self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(chunks[at : at + 5000], found, strict=True))
+
+    def _distinct(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of the chunks, marks that end a chunk looked up by themselves."""
+        cores = [c.rstrip(MARKS) for c in chunks]
+        tails: dict[int, str] = {}
+        for k, (c, core) in enumerate(zip(chunks, cores, strict=True)):
+            if len(c) != len(core):
+                if core[-1:] in LETTERS:
+                    tails[k] = c[len(core) :]
+                else:
+                    cores[k] = c
+        need = {*cores, *tails.values()}
+        new = need.difference(self.known)
+        if new:
+            self._learn(need - {""} if len(self.known) + len(new) > self.most else new)
         known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if len(known) + len(new) > self.most:
-            known = self.known = {"": b""}
-            new = list(set(chunks) - {""})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return [known[c] for c in chunks]
+        known[""] = b""
+        out = [known[c] for c in cores]
+        for k, tail in tails.items():
+            out[k] += known[tail]
+        return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.ids(self.chunks(text)))
+        if "<|" in text:  # may hold a special token's own name, which is found before lower-casing
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self._distinct(self.prepared(text).split(" ")))
 
     def count(self, text: str) -> int:
-        return sum(map(len, self.ids(self.chunks(text)))) // 4
+        return len(self.encode(text)) // 4
+
+    def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each text's ids as an array, in order; distinct chunks of some millions of code points are looked up once."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= AT_ONCE):
+                size += len(texts[to])
+                to += 1
+            yield from self._encode_some(texts[at:to])
+            at = to
+
+    def _encode_some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        odd = {k for k, t in enumerate(texts) if "<|" in t}
+        lists = pc.split_pattern(pa.array(["" if k in odd else self.prepared(t) for k, t in enumerate(texts)], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        found = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        firsts = np.cumsum(lengths) - lengths
+        which = coded.indices.to_numpy()
+        length = lengths[which]
+        ends = np.cumsum(length)
+        every = ids[np.repeat(firsts[which] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
+        for k in range(len(texts)):
+            yield np.frombuffer(self.encode(texts[k]), np.uint32) if k in odd else every[bounds[k] : bounds[k + 1]]
 
 
 @lru_cache(maxsize=2)
