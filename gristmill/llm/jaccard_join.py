@@ -32,6 +32,8 @@ FREQUENT_BITS = 22
 BROADCAST_IDS = 1_000_000
 LEAF = 32
 QUERIES = 1024
+#: Rows under one key that are compared with each before all are kept, and rows of one key that a task holds for it.
+STEPS, HELD = 64, 1_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -155,7 +157,7 @@ def sets_table(docs: DataFrame, id_column: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [shingles(t.as_py()) for t in batch.column(1)]
         values, counts = np.unique(np.concatenate(found), return_counts=True)
-        often = np.unique(values[counts >= max(4, len(found) // 200)] & np.uint64((1 << FREQUENT_BITS) - 1)).astype(np.int32)
+        often = np.unique(values[counts >= max(4, len(found) // 2000)] & np.uint64((1 << FREQUENT_BITS) - 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([class_id(f) if len(f) else None for f in found], pa.int64()),
@@ -175,38 +177,69 @@ def frequent_table(often: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def partnered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of rows sorted by key and size, those with another row under their key that they could link with, were this the
+    first shingle that both have in the order: no more than the rest of either set can be common then."""
+    keep, rows = np.zeros(len(keys), bool), np.arange(len(keys))
+    left = 1 + np.maximum(sizes - 1 - places, 0)
+    for step in range(1, STEPS + 1):
+        rows = rows[: np.searchsorted(rows, len(keys) - step)]
+        rows = rows[(keys[rows] == keys[rows + step]) & (WHOLE * sizes[rows] >= PART * sizes[rows + step])]
+        if not len(rows):
+            return keep
+        fits = (PART + WHOLE) * np.minimum(left[rows], left[rows + step]) >= PART * (sizes[rows] + sizes[rows + step])
+        keep[rows[fits]] = keep[rows[fits] + step] = True
+    for step in range(STEPS + 1):  # longer runs of like sizes aren't told apart here: all their rows stay
+        keep[rows + step] = True
+    # and so do the rows beyond, each of which ends such a run or has been compared
+    return keep
+
+
 def keyed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, cid) for each class and each shingle of its prefix, kept where two classes share the key."""
+    """(key, cid) for each class and each shingle of its prefix, kept where another class under the key could link."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, ids, seen = [], [], set()
+        keys, ids, sizes, seen = [], [], [], set()
         for t in batch.column(0):
             found = shingles(t.as_py())
             if len(found) and (cid := class_id(found)) not in seen:
                 seen.add(cid)
                 keys.append(prefix(found, table.value))
-                ids.append(np.full(len(keys[-1]), cid, np.int64))
+                ids.append(cid)
+                sizes.append(len(found))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "cid"])
+            many = [len(k) for k in keys]
+            places = np.concatenate([np.arange(n, dtype=np.int32) for n in many])
+            columns = (np.concatenate(keys).view(np.int64), np.repeat(np.array(ids, np.int64), many), np.repeat(np.array(sizes, np.int32), many), places)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "cid", "n", "place"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by key and class: a row is kept if a neighbour has its key and another class."""
-        last, given = np.empty((2, 0), np.int64), False  # the last row so far, and whether it has been given
-        for batch in batches:
-            rows = np.concatenate((last, np.stack([c.to_numpy() for c in batch.columns])), 1)
-            rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(0)))]
-            same = rows[0, 1:] == rows[0, :-1]
-            keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            given_then, given = given, bool(keep[-1]) if rows.shape[1] > 1 else given
-            if last.shape[1] and given_then:
-                keep[0] = False
-            last = rows[:, -1:]
+        """Of rows sorted by key, size and class; the last key's rows wait for what follows, up to HELD of them."""
+        held, large = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)], None  # a key over HELD: all its rows stay
+
+        def give(columns: list[np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], names=["key", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns[:2]], names=["key", "cid"])
 
-    keys = by_batch(docs.select(text_of().alias("text")), prefixes, "key long, cid long")
-    return keys.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(shared, "key long, cid long")
+        def tested(columns: list[np.ndarray]) -> np.ndarray:
+            return partnered(columns[0], columns[2].astype(np.int64), columns[3].astype(np.int64)) | (columns[0] == large if large is not None else False)
+
+        for batch in batches:
+            rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            fresh = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
+            rows = [c[fresh] for c in rows]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if len(rows[0]) - cut > HELD:
+                large, cut = rows[0][-1], len(rows[0])
+            done, held = [c[:cut] for c in rows], [c[cut:] for c in rows]
+            yield from give(done, tested(done))
+        yield from give(held, tested(held))
+
+    keys = by_batch(docs.select(text_of().alias("text")), prefixes, "key long, cid long, n int, place int")
+    return keys.repartition("key").sortWithinPartitions("key", "n", "cid").mapInArrow(shared, "key long, cid long")
 
 
 def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
