@@ -31,6 +31,7 @@ FREQUENT_BITS = 22
 #: Ids up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 LEAF = 32
+MOST_GROUPS = 512
 QUERIES = 1024
 #: Rows under one key that are compared with each before all are kept, and rows of one key that a task holds for it.
 STEPS, HELD = 64, 1_000_000
@@ -71,11 +72,21 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate((found[~often], found[often]))[: n - (PART * n + WHOLE - 1) // WHOLE + 1]
 
 
-def count_vector(found: np.ndarray) -> np.ndarray:
-    """Counts of the shingles in G groups, G the power of two from half the set's size on; groups of half as many
-    are the sums of two halves."""
-    groups = 1 << max(3, (max(1, len(found) // 2) - 1).bit_length())
-    return np.bincount((found >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.uint16)
+def groups_of(n: int) -> int:
+    """Groups for a set of n: the power of two from twice its size on, within bounds."""
+    return min(MOST_GROUPS, 1 << max(3, (2 * n - 1).bit_length()))
+
+
+def count_vector(found: np.ndarray) -> bytes:
+    """Counts of the shingles in groups, in a byte each where they fit, else in two; groups of half as many are the
+    sums of two halves."""
+    groups = groups_of(len(found))
+    counts = np.bincount((found >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint16).tobytes()
+
+
+def vector_of(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups_of(n) else np.uint16).astype(np.int32)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -130,12 +141,17 @@ def proposals(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: li
     """Pairs of ids under one key, each id's ``most`` best candidates outside its component; and whether some id has more."""
     pairs: set[tuple[int, int]] = set()
     more = False
+    if len(ids) == 2:
+        width = min(map(len, vectors))
+        bound = int(np.minimum(folded(vectors[0], width), folded(vectors[1], width)).sum())
+        good = roots[0] != roots[1] and (PART + WHOLE) * bound >= PART * sizes.sum() and WHOLE * sizes.min() >= PART * sizes.max()
+        return ({(int(ids.min()), int(ids.max()))} if good else pairs), False
     widths = np.array([len(v) for v in vectors])
     for width in np.unique(widths):  # sets that link differ by one doubling at most
         rows = np.flatnonzero((widths == width) | (widths == 2 * width))
         if len(rows) < 2 or not (widths[rows] == width).any():
             continue
-        points = np.stack([folded(vectors[k], width) for k in rows]).astype(np.int32)
+        points = np.stack([folded(vectors[k], width) for k in rows])
         tree = CountRTree(points, sizes[rows])
         for at in range(0, len(rows), QUERIES):
             some = rows[at : at + QUERIES]
@@ -255,7 +271,7 @@ def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([class_id(f) for f in part], pa.int64()), pa.array([len(f) for f in part], pa.int64()),
-                    pa.array([count_vector(f).tobytes() for f in part], pa.binary()), pa.array([f.tobytes() for f in part], pa.binary()),
+                    pa.array([count_vector(f) for f in part], pa.binary()), pa.array([f.tobytes() for f in part], pa.binary()),
                 ],
                 names=["cid", "n", "vector", "shingles"],
             )
@@ -264,18 +280,18 @@ def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFram
 
 
 def proposed(members: DataFrame, most: int) -> DataFrame:
-    """(a, b, more): candidates under every key of ``members`` (key, cid, root, n, vector). The rows come sorted by
-    key; a key's rows are held together in one task as points, never as pairs."""
+    """(key, a, b, more): candidates under every key of ``members`` (key, cid, root, n, vector), and whether the key has
+    more than these. The rows come sorted by key; a key's rows are held in one task as points, never as pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def give() -> Iterator[pa.RecordBatch]:
             ids, roots, sizes, vectors = zip(*held, strict=True)
-            pairs, more = proposals(np.array(ids), np.array(roots), np.array(sizes), [np.frombuffer(v, np.uint16) for v in vectors], most)
-            rows = [(a, b, more) for a, b in sorted(pairs)]
+            pairs, more = proposals(np.array(ids), np.array(roots), np.array(sizes), list(map(vector_of, vectors, sizes)), most)
+            rows = [(key, a, b, more) for a, b in sorted(pairs)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["a", "b", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "a", "b", "more"])
 
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -288,7 +304,7 @@ def proposed(members: DataFrame, most: int) -> DataFrame:
             yield from give()
 
     rows = members.select("key", "cid", "root", "n", "vector")
-    return rows.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "a long, b long, more boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "key long, a long, b long, more boolean")
 
 
 def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -315,20 +331,20 @@ def class_links(shared: DataFrame, points: DataFrame) -> DataFrame:
     members = shared.withColumn("k", F.row_number().over(first)).where("k <= 2").select("key", "cid").join(vectors, "cid").withColumn("root", F.col("cid"))
     few = written(proposed(members, 2).select("a", "b").distinct(), "pairs")  # most classes end in their components here
     links, checked = written(verified(few, points), "links"), few
-    most = 4
+    most, left = 4, shared
     while True:
         roots = written(components(links), "roots").toDF("cid", "_root")
-        rooted = shared.join(roots, "cid", "left").select("key", "cid", F.coalesce("_root", "cid").alias("root"))
+        rooted = left.join(roots, "cid", "left").select("key", "cid", F.coalesce("_root", "cid").alias("root"))
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         found = written(proposed(rooted.join(open_keys, "key", "left_semi").join(vectors, "cid"), most), "pairs")
-        more = found.where("more").limit(1).count() > 0
+        again = written(found.where("more").select("key").distinct(), "keys")  # the others have shown all their candidates
         pairs = written(found.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
         new = written(verified(pairs, points), "links")
         fresh = new.limit(1).count() > 0
         links, checked = links.unionByName(new), checked.unionByName(pairs)
-        if not more:
+        if not again.limit(1).count():
             break
-        most *= 8
+        most, left = most * 8, left.join(again, "key", "left_semi")
     return written(components(links), "roots").toDF("cid", "root") if fresh else roots.toDF("cid", "root")
 
 
