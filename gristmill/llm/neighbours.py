@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import by_batch, written
 
 #: Rows of a part of a bucket, and rows and queries that the fit samples at most.
-PART_ROWS = 4096
+PART_ROWS = 16_384
 SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 200
 
 
