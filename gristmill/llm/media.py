@@ -122,7 +122,7 @@ def describe(data: bytes) -> list[Track]:
 
     def close() -> None:
         track, runs = tracks[-1], tables.get(b"stsc", [])
-        track.sizes = [fixed] * units if fixed else [n for (n,) in tables.get(b"sizes", [])]
+        track.sizes = [fixed] * min(units, len(data) // fixed) if fixed else [n for (n,) in tables.get(b"sizes", [])]
         track.duration = track.duration or sum(n * d for n, d in tables.get(b"stts", []))
         k = run = 0
         for number, (place,) in enumerate(tables.get(b"chunks", []), 1):
@@ -156,7 +156,7 @@ def describe(data: bytes) -> list[Track]:
                 tables[b"chunks"] = _table(view, at + 4, end, "I" if kind == b"stco" else "Q")
             elif kind in (b"stts", b"stsc", b"stss"):
                 tables[kind] = _table(view, at + 4, end, {b"stts": "II", b"stsc": "III", b"stss": "I"}[kind])
-    except struct.error:  # a box that ends early
+    except (struct.error, IndexError):  # a box that ends early
         pass
     if tracks:
         close()

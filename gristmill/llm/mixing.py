@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import WORD, text_of, written
 
 BINS = 256
+#: Columns of the result; those of the input that have these names give way.
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -58,8 +60,7 @@ def mix(
     takes nothing. ``taken`` is whole repetitions times size, plus what the fractional one takes. Repeated rows fall
     into one bin and count each by itself. An empty table gives an empty result.
     """
-    added = ("size", "source_size", "target", "taken")
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     sized = docs.withColumns({"size": word_count(text_of()), "_mix_bin": hex_number(seed, F.col(id_column), 1, 2)})
     bins = written(sized.groupBy("source", "_mix_bin").agg(F.sum("size").alias("words")), "bins")  # BINS rows a source at most
     sources = bins.groupBy("source").agg(F.sum("words").alias("size"))
@@ -73,22 +74,22 @@ def mix(
     share = F.when(F.col("words") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (rest - F.col("before")) / F.col("words")))).otherwise(0.0)
     plan = written(
         cut.withColumn("whole", whole).select(
-            F.col("b.source").alias("_mix_plan_source"), F.col("_mix_bin").alias("_mix_plan_bin"), F.col("size").alias("source_size"), "target", "whole", share.alias("share")
+            F.col("b.source").alias("_mix_plan_source"), F.col("_mix_bin").alias("_mix_plan_bin"), F.col("size").alias("source_size"), "target", F.col("whole").alias("_mix_whole"), share.alias("_mix_share")
         ),
         "plan",
     )
-    part = F.floor(F.col("share") * F.col("size") + hex_number(seed, F.col(id_column), 3, 6) / F.lit(float(16**6))).cast("long")
-    taken = F.col("whole") * F.col("size") + F.least(F.col("size"), part)
+    part = F.floor(F.col("_mix_share") * F.col("size") + hex_number(seed, F.col(id_column), 3, 6) / F.lit(float(16**6))).cast("long")
+    taken = F.col("_mix_whole") * F.col("size") + F.least(F.col("size"), part)
     return (
         sized.join(plan, F.expr("source <=> _mix_plan_source AND _mix_bin = _mix_plan_bin"), "left")
         .withColumn("taken", taken)
-        .select(*docs.columns, *added)
+        .select(*docs.columns, *ADDED)
     )
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mix as rows: each document as often as ``taken`` has it whole, and its first words for what is left over."""
-    columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
+    columns = [c for c in mixed.columns if c not in ADDED]
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     some = mixed.where("size > 0 AND taken > 0").withColumns({"_whole": whole, "_rest": rest})
     full = some.where("_whole > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole")))).select(*columns)

@@ -129,7 +129,7 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) ->
         share = np.stack([1 - q, q])
         mass = share.sum(1)
         model.rates = np.clip((share @ every + strength * believed) / (mass[:, None] + strength), 1e-4, 1 - 1e-4)
-        model.prior = float(np.clip((mass[1] + 0.2) / (n + 2), 1e-4, 1 - 1e-4))
+        model.prior = float(np.clip((mass[1] + 1) / (n + 10), 1e-4, 1 - 1e-4))
         model.weight = np.ones(m + 1)
         together = np.zeros((m + 1, m + 1))
         for c in (0, 1):  # correlations that the class doesn't explain
@@ -170,7 +170,7 @@ def fit_classifier(hits: np.ndarray, posterior: np.ndarray, model: LabelModel, r
         return Classifier(w, bias)
     x = np.concatenate((features(hits), np.ones((len(hits), 1))), 1)
     full, centre = np.append(w, bias), np.append(start, bias)
-    pull = np.append(np.full(len(w), ridge), 1e-3)
+    pull = np.append(np.full(len(w), ridge), 1.0)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ full, -40, 40)))
         slope = x.T @ (posterior - p) - pull * (full - centre)
