@@ -265,7 +265,8 @@ def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFram
     some = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).join(wanted, "id", "left_semi").select("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [shingles(t.as_py()) for t in batch.column(0)]
+        # an id that rows repeat may give its class again in another batch, which only gives its pairs again
+        found = list({class_id(f): f for f in (shingles(t.as_py()) for t in batch.column(0)) if len(f)}.values())
         for at in range(0, len(found), 1000):
             part = found[at : at + 1000]
             yield pa.RecordBatch.from_arrays(
@@ -276,7 +277,7 @@ def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFram
                 names=["cid", "n", "vector", "shingles"],
             )
 
-    return by_batch(some, run, "cid long, n long, vector binary, shingles binary").dropDuplicates(["cid"])
+    return by_batch(some, run, "cid long, n long, vector binary, shingles binary")
 
 
 def proposed(members: DataFrame, most: int) -> DataFrame:
@@ -310,6 +311,9 @@ def proposed(members: DataFrame, most: int) -> DataFrame:
 def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """``pairs`` (a, b) whose whole sets are similar enough."""
     sets = points.select("cid", "shingles")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    if ids.count() <= BROADCAST_IDS:  # sets that no pair needs aren't shuffled then
+        sets = sets.join(F.broadcast(ids), "cid", "left_semi")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
