@@ -1,6 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model over them, a linear classifier on its posteriors.
 
-Voters are lexicons, patterns, and word stems that are mined from labelled rows. The label model has for each voter how
+Voters are lexicons, patterns, and word stems that are mined from labelled rows; one voter may ask for several different
+words of a stem, as a word that a clean text has once stands in a toxic one in several forms. The label model has for each voter how
 often it fires on toxic and on clean texts, estimated by expectation maximisation with the given label as one voter more;
 voters that fire together beyond their class share their weight. A logistic regression on the voters' hits is fitted to
 the posterior labels and scores every text. Voting and scoring run over Arrow batches, without a shuffle of texts; only
@@ -28,6 +29,8 @@ MOST_STEMS, MOST_VOTERS = 3000, 150
 #: Least log-likelihood ratio of a stem with the label; far above what chance gives a million stems.
 LEAST_RATIO = 45.0
 PREFIXES = (4, 5, 6)
+#: Different words of a prefix that a mined voter asks for, and chosen stems that each toxic row is to have, where it can.
+FORMS, COVER = (1, 2, 3), 2
 WORD = re.compile(r"[^\W\d_]+")
 
 LEXICONS: dict[str, tuple[str, ...]] = {
@@ -59,6 +62,12 @@ def stems(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)] if len(word) > 2 else []
 
 
+def stems_of(text: str) -> set[str]:
+    """The text's mined voters' names: its stems, and ``n`` before a prefix that n different words of the text have."""
+    seen = Counter(s for w in words(text) for s in stems(w))
+    return {s if n == 1 else f"{n} {s}" for s, many in seen.items() for n in FORMS if many >= n}
+
+
 @dataclass(frozen=True)
 class Voters:
     """Names in the order of the vote columns: lexicons' words by lexicon, patterns, counts, mined stems."""
@@ -73,7 +82,10 @@ class Voters:
         """A function of a text that gives the voters' hits: different words, matches of patterns."""
         lexicon = {w: k for k, some in enumerate(LEXICONS.values()) for w in some}
         first = len(LEXICONS) + len(PATTERNS) + len(SEVERAL)
-        mined = {s: first + k for k, s in enumerate(self.mined)}
+        least = np.array([int(s.split()[0]) if " " in s else 1 for s in self.mined], np.float32)
+        plain = [s.split()[-1] for s in self.mined]
+        mined = {s: first + k for k, s in enumerate(dict.fromkeys(plain))}
+        source = np.array([mined[s] for s in plain], int)
         width, known = first + len(mined), {}
 
         def votes(word: str) -> tuple[int, ...]:
@@ -95,7 +107,8 @@ class Voters:
                 out[k] = sum(1 for _ in pattern.finditer(text))
             for k, n in enumerate(SEVERAL, len(LEXICONS) + len(PATTERNS)):
                 out[k] = distinct >= n
-            return out
+            own = out[source]
+            return np.concatenate((out[:first], np.where(own >= least, own, 0).astype(np.float32)))
 
         return hits
 
@@ -195,12 +208,12 @@ def ratio(pos: np.ndarray, neg: np.ndarray, all_pos: int, all_neg: int) -> np.nd
 
 def mine_stems(sample: DataFrame, most: int = MOST_VOTERS) -> tuple[str, ...]:
     """Stems that go with the label in ``sample`` (text, label): counted by Spark, the strongest sorted out here so that
-    each adds toxic rows that those before it don't have."""
+    each adds toxic rows of which fewer than ``COVER`` before it are voters."""
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            seen[label].update({s for w in words(text.as_py()) for s in stems(w)})
+            seen[label].update(stems_of(text.as_py()))
         names = list({*seen[0], *seen[1]})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[c][s] for s in names], pa.int64()) for c in (1, 0))], names=["stem", "pos", "neg"])
 
@@ -222,19 +235,20 @@ def mine_stems(sample: DataFrame, most: int = MOST_VOTERS) -> tuple[str, ...]:
     index = {s: k for k, s in enumerate(names)}
 
     def found(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = [sorted({index[s] for w in words(t.as_py()) for s in stems(w) if s in index}) for t in batch.column(0)]
+        rows = [sorted(index[s] for s in stems_of(t.as_py()) if s in index) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["hit"])
 
-    left = [set(r["hit"]) for r in by_batch(sample.where("label = 1").select("text"), found, "hit array<int>").collect() if r["hit"]]
+    left = [(set(r["hit"]), COVER) for r in by_batch(sample.where("label = 1").select("text"), found, "hit array<int>").collect() if r["hit"]]
     chosen: list[str] = []
     while left and len(chosen) < most:
-        gain = Counter(k for hit in left for k in hit)
-        # the most new rows; of equals the one with the shorter stem
+        gain = Counter(k for hit, _ in left for k in hit)
+        # the most rows still to be covered; of equals the one with the shorter stem
         best = min(gain, key=lambda k: (-gain[k], len(names[k]), names[k]))
         if gain[best] < 5:
             break
         chosen.append(names[best])
-        left = [hit for hit in left if best not in hit]
+        left = [(hit - {best}, more - (best in hit)) for hit, more in left]
+        left = [(hit, more) for hit, more in left if hit and more]
     return tuple(chosen)
 
 
