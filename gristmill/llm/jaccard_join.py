@@ -12,10 +12,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ BROADCAST_IDS = 1_000_000
 LEAF = 32
 MOST_GROUPS = 512
 QUERIES = 1024
+#: Bytes of text whose shingles a task holds at once; a longer text is held by itself.
+TEXT_BYTES = 4_000_000
 #: Rows under one key that are compared with each before all are kept, and rows of one key that a task holds for it.
 STEPS, HELD = 64, 1_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -167,8 +170,20 @@ def proposals(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: li
     return pairs, more
 
 
+def by_texts(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``function`` over parts of Arrow batches whose last column has about ``TEXT_BYTES`` of text."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(pc.binary_length(batch.columns[-1]).to_numpy().astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // TEXT_BYTES)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield from function(batch.slice(a, b - a))
+
+    return by_batch(df, run, schema)
+
+
 def sets_table(docs: DataFrame, id_column: str) -> DataFrame:
-    """(id, n, cid, often): each document's set size and class; a batch's frequent shingles stand in its first row."""
+    """(id, n, cid, often): each document's set size and class; the frequent shingles of a part of a batch stand in its first row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [shingles(t.as_py()) for t in batch.column(1)]
@@ -182,7 +197,7 @@ def sets_table(docs: DataFrame, id_column: str) -> DataFrame:
             names=["id", "n", "cid", "often"],
         )
 
-    return by_batch(docs.select(F.col(id_column).alias("id"), text_of().alias("text")), run, f"id {dict(docs.dtypes)[id_column]}, n long, cid long, often array<int>")
+    return by_texts(docs.select(F.col(id_column).alias("id"), text_of().alias("text")), run, f"id {dict(docs.dtypes)[id_column]}, n long, cid long, often array<int>")
 
 
 def frequent_table(often: DataFrame) -> np.ndarray:
@@ -254,7 +269,7 @@ def keyed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             yield from give(done, tested(done))
         yield from give(held, tested(held))
 
-    keys = by_batch(docs.select(text_of().alias("text")), prefixes, "key long, cid long, n int, place int")
+    keys = by_texts(docs.select(text_of().alias("text")), prefixes, "key long, cid long, n int, place int")
     return keys.repartition("key").sortWithinPartitions("key", "n", "cid").mapInArrow(shared, "key long, cid long")
 
 
@@ -277,7 +292,7 @@ def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFram
                 names=["cid", "n", "vector", "shingles"],
             )
 
-    return by_batch(some, run, "cid long, n long, vector binary, shingles binary")
+    return by_texts(some, run, "cid long, n long, vector binary, shingles binary")
 
 
 def proposed(members: DataFrame, most: int) -> DataFrame:
