@@ -6,8 +6,8 @@
    part the join over the cluster; no pair is made from them.
 3. Under a key, classes are points: shingles are hashed into groups, the counts are the coordinates. An R-tree bounds
    the overlap with a whole node by the sum of coordinate minima; what passes is a candidate.
-4. Candidates are verified on whole sets. A class proposes its best candidates first, and only ones outside its
-   component, more in each round until none is left: what a component's links already join is never expanded into pairs.
+4. Candidates are verified on whole sets. A component proposes its best candidates outside it first, more in each round
+   until none is left: what a component's links already join is never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -141,7 +141,8 @@ class CountRTree:
 
 
 def proposals(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], most: int) -> tuple[set[tuple[int, int]], bool]:
-    """Pairs of ids under one key, each id's ``most`` best candidates outside its component; and whether some id has more."""
+    """Pairs of ids under one key, each component's ``most`` best candidates outside it for each block of queries; and
+    whether some component has more."""
     pairs: set[tuple[int, int]] = set()
     more = False
     if len(ids) == 2:
@@ -161,9 +162,10 @@ def proposals(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: li
             q, p, bound = tree.search(points[at : at + QUERIES], sizes[some])
             fits = roots[some[q]] != roots[rows[p]]
             q, p, bound = q[fits], p[fits], bound[fits]
-            order = np.lexsort((ids[rows[p]], -bound / (sizes[some[q]] + sizes[rows[p]]), q))
-            q, p = q[order], p[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            own = roots[some[q]]
+            order = np.lexsort((ids[rows[p]], ids[some[q]], -bound / (sizes[some[q]] + sizes[rows[p]]), own))
+            q, p, own = q[order], p[order], own[order]
+            rank = np.arange(len(q)) - np.searchsorted(own, own)
             more |= bool((rank >= most).any())
             for a, b in zip(ids[some[q[rank < most]]].tolist(), ids[rows[p[rank < most]]].tolist(), strict=True):
                 pairs.add((a, b) if a < b else (b, a))
@@ -227,7 +229,9 @@ def partnered(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.nda
 
 
 def keyed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, cid) for each class and each shingle of its prefix, kept where another class under the key could link."""
+    """(key, cid) for each class and each shingle of its prefix, kept where another class under the key could link.
+    Shingles that the same classes have are one key, a digest of them: they show the same candidates. Keys whose digests
+    happen to agree have their classes together, which loses none."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -251,7 +255,14 @@ def keyed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
         def give(columns: list[np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns[:2]], names=["key", "cid"])
+                named, ids = columns[0][keep], columns[1][keep]
+                starts = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+                many = np.diff(starts, append=len(named))
+                digests = mixed(np.add.reduceat(mixed(ids.view(np.uint64)), starts) + many.astype(np.uint64))
+                merged = np.repeat(digests.view(np.int64), many)
+                if large is not None:  # its classes aren't seen together: it keeps its own name
+                    merged = np.where(named == large, named, merged)
+                yield pa.RecordBatch.from_arrays([pa.array(merged), pa.array(ids)], names=["key", "cid"])
 
         def tested(columns: list[np.ndarray]) -> np.ndarray:
             return partnered(columns[0], columns[2].astype(np.int64), columns[3].astype(np.int64)) | (columns[0] == large if large is not None else False)
@@ -270,7 +281,7 @@ def keyed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         yield from give(held, tested(held))
 
     keys = by_texts(docs.select(text_of().alias("text")), prefixes, "key long, cid long, n int, place int")
-    return keys.repartition("key").sortWithinPartitions("key", "n", "cid").mapInArrow(shared, "key long, cid long")
+    return keys.repartition("key").sortWithinPartitions("key", "n", "cid").mapInArrow(shared, "key long, cid long").distinct()
 
 
 def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
