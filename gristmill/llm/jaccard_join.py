@@ -34,6 +34,8 @@ BROADCAST_IDS = 1_000_000
 LEAF = 32
 MOST_GROUPS = 512
 QUERIES = 1024
+#: A class's least keys that its points carry, for telling that two have met under a lesser key; pairs compared at once.
+FIRST_KEYS, COMPARED = 16, 4096
 #: Bytes of text whose shingles a task holds at once; a longer text is held by itself.
 TEXT_BYTES = 4_000_000
 #: Rows under one key that are compared with each before all are kept, and rows of one key that a task holds for it.
@@ -140,15 +142,27 @@ class CountRTree:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def proposals(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], most: int) -> tuple[set[tuple[int, int]], bool]:
+def met_before(firsts: np.ndarray, a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """Of pairs of rows of ``firsts``, each a class's least keys, those that have a common one below ``key``: it shows them."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), COMPARED):
+        x, y = firsts[a[at : at + COMPARED]], firsts[b[at : at + COMPARED]]
+        out[at : at + COMPARED] = ((x[:, :, None] == y[:, None, :]) & (x < key)[:, :, None]).any((1, 2))
+    return out
+
+
+def proposals(
+    ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], most: int, key: int = 0, firsts: np.ndarray | None = None
+) -> tuple[set[tuple[int, int]], bool]:
     """Pairs of ids under one key, each component's ``most`` best candidates outside it for each block of queries; and
-    whether some component has more."""
+    whether some component has more. With ``firsts``, without those that met before ``key``."""
     pairs: set[tuple[int, int]] = set()
     more = False
     if len(ids) == 2:
         width = min(map(len, vectors))
         bound = int(np.minimum(folded(vectors[0], width), folded(vectors[1], width)).sum())
-        good = roots[0] != roots[1] and (PART + WHOLE) * bound >= PART * sizes.sum() and WHOLE * sizes.min() >= PART * sizes.max()
+        met = firsts is not None and met_before(firsts, np.array([0]), np.array([1]), key)[0]
+        good = not met and roots[0] != roots[1] and (PART + WHOLE) * bound >= PART * sizes.sum() and WHOLE * sizes.min() >= PART * sizes.max()
         return ({(int(ids.min()), int(ids.max()))} if good else pairs), False
     widths = np.array([len(v) for v in vectors])
     for width in np.unique(widths):  # sets that link differ by one doubling at most
@@ -162,6 +176,9 @@ def proposals(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: li
             q, p, bound = tree.search(points[at : at + QUERIES], sizes[some])
             fits = roots[some[q]] != roots[rows[p]]
             q, p, bound = q[fits], p[fits], bound[fits]
+            if firsts is not None:
+                fits = ~met_before(firsts, some[q], rows[p], key)
+                q, p, bound = q[fits], p[fits], bound[fits]
             own = roots[some[q]]
             order = np.lexsort((ids[rows[p]], ids[some[q]], -bound / (sizes[some[q]] + sizes[rows[p]]), own))
             q, p, own = q[order], p[order], own[order]
@@ -307,15 +324,18 @@ def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFram
 
 
 def proposed(members: DataFrame, most: int) -> DataFrame:
-    """(key, a, b, more): candidates under every key of ``members`` (key, cid, root, n, vector), and whether the key has
-    more than these. The rows come sorted by key; a key's rows are held in one task as points, never as pairs."""
+    """(key, a, b, more): candidates under every key of ``members`` (key, cid, root, n, vector, firsts), and whether the
+    key has more than these. Two classes whose ``firsts`` have a lesser key in common are left to that key. The rows come sorted by key; a key's rows are held in one task as points, never as pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def give() -> Iterator[pa.RecordBatch]:
-            ids, roots, sizes, vectors = zip(*held, strict=True)
-            pairs, more = proposals(np.array(ids), np.array(roots), np.array(sizes), list(map(vector_of, vectors, sizes)), most)
+            ids, roots, sizes, vectors, lists = zip(*held, strict=True)
+            firsts = np.full((len(ids), FIRST_KEYS), np.iinfo(np.int64).max)
+            for row, some in zip(firsts, lists, strict=True):
+                row[: len(some)] = some
+            pairs, more = proposals(np.array(ids), np.array(roots), np.array(sizes), list(map(vector_of, vectors, sizes)), most, key, firsts)
             rows = [(key, a, b, more) for a, b in sorted(pairs)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "a", "b", "more"])
@@ -330,7 +350,7 @@ def proposed(members: DataFrame, most: int) -> DataFrame:
         if len(held) > 1:
             yield from give()
 
-    rows = members.select("key", "cid", "root", "n", "vector")
+    rows = members.select("key", "cid", "root", "n", "vector", "firsts")
     return rows.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "key long, a long, b long, more boolean")
 
 
@@ -357,11 +377,16 @@ def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
 def class_links(shared: DataFrame, points: DataFrame) -> DataFrame:
     """(cid, root) of all classes that have a link to another. ``shared`` (key, cid) is every key that two classes have."""
     vectors = points.select("cid", "n", "vector")
-    first = Window.partitionBy("cid").orderBy("key")
-    members = shared.withColumn("k", F.row_number().over(first)).where("k <= 2").select("key", "cid").join(vectors, "cid").withColumn("root", F.col("cid"))
+    first = shared.withColumn("k", F.row_number().over(Window.partitionBy("cid").orderBy("key")))
+
+    def carrying(most: int) -> DataFrame:
+        lists = first.where(F.col("k") <= most).groupBy("cid").agg(F.collect_list("key").alias("firsts"))
+        return vectors.join(lists, "cid")
+
+    members = first.where("k <= 2").select("key", "cid").join(carrying(2), "cid").withColumn("root", F.col("cid"))
     few = written(proposed(members, 2).select("a", "b").distinct(), "pairs")  # most classes end in their components here
     links, checked = written(verified(few, points), "links"), few
-    most, left = 4, shared
+    most, left, vectors = 4, shared, written(carrying(FIRST_KEYS), "vectors")
     while True:
         roots = written(components(links), "roots").toDF("cid", "_root")
         rooted = left.join(roots, "cid", "left").select("key", "cid", F.coalesce("_root", "cid").alias("root"))
