@@ -28,9 +28,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a fractional repetition is its first words. Those it takes nothing of go."""
+    """Each document whole, as often as the mix takes it. Those that it doesn't take go."""
     aside = {c: f"_kept_{c}" for c in docs.columns if c in mixing.ADDED}
-    mixed = mixing.repeated(mixing.mix(docs.withColumnsRenamed(aside)))
+    mixed = mixing.mixed_whole(docs.withColumnsRenamed(aside))
     return mixed.withColumnsRenamed({new: c for c, new in aside.items()}).select(*docs.columns)
 
 

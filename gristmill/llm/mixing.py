@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import WORD, text_of, written
 
 BINS = 256
+#: Hex digits of the bins that the bin at a cut is dealt into.
+FINE_DIGITS = 4
 #: Columns of the result; those of the input that have these names give way.
 ADDED = ("size", "source_size", "target", "taken")
 
@@ -51,16 +53,8 @@ def water_fill(sizes: DataFrame, most_epochs: int = 3, total: int | None = None)
     return sizes.select("source", "size", "weight", F.least(share, (F.col("size") * most_epochs).cast("double")).alias("target"))
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_epochs: int = 3, seed: str = "mix", id_column: str = "doc_id"
-) -> DataFrame:
-    """``docs`` with size, source_size, target and taken added, a row for each row of the input.
-
-    Sources by code point, null last, weigh ``weights`` in turn. An empty text or a source without words has size 0 and
-    takes nothing. ``taken`` is whole repetitions times size, plus what the fractional one takes. Repeated rows fall
-    into one bin and count each by itself. An empty table gives an empty result.
-    """
-    docs = docs.drop(*ADDED)
+def planned(docs: DataFrame, weights: Sequence[int], most_epochs: int, seed: str, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with size and bin, and what the mix takes of each source's bins."""
     sized = docs.withColumns({"size": word_count(text_of()), "_mix_bin": hex_number(seed, F.col(id_column), 1, 2)})
     bins = written(sized.groupBy("source", "_mix_bin").agg(F.sum("size").alias("words")), "bins")  # BINS rows a source at most
     sources = bins.groupBy("source").agg(F.sum("words").alias("size"))
@@ -74,10 +68,25 @@ def mix(
     share = F.when(F.col("words") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (rest - F.col("before")) / F.col("words")))).otherwise(0.0)
     plan = written(
         cut.withColumn("whole", whole).select(
-            F.col("b.source").alias("_mix_plan_source"), F.col("_mix_bin").alias("_mix_plan_bin"), F.col("size").alias("source_size"), "target", F.col("whole").alias("_mix_whole"), share.alias("_mix_share")
+            F.col("b.source").alias("_mix_plan_source"), F.col("_mix_bin").alias("_mix_plan_bin"), F.col("size").alias("source_size"), "target", F.col("whole").alias("_mix_whole"), share.alias("_mix_share"),
+            (rest - F.col("before")).alias("_mix_left"),
         ),
         "plan",
     )
+    return sized, plan
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_epochs: int = 3, seed: str = "mix", id_column: str = "doc_id"
+) -> DataFrame:
+    """``docs`` with size, source_size, target and taken added, a row for each row of the input.
+
+    Sources by code point, null last, weigh ``weights`` in turn. An empty text or a source without words has size 0 and
+    takes nothing. ``taken`` is whole repetitions times size, plus what the fractional one takes. Repeated rows fall
+    into one bin and count each by itself. An empty table gives an empty result.
+    """
+    docs = docs.drop(*ADDED)
+    sized, plan = planned(docs, weights, most_epochs, seed, id_column)
     part = F.floor(F.col("_mix_share") * F.col("size") + hex_number(seed, F.col(id_column), 3, 6) / F.lit(float(16**6))).cast("long")
     taken = F.col("_mix_whole") * F.col("size") + F.least(F.col("size"), part)
     return (
@@ -100,6 +109,51 @@ def repeated(mixed: DataFrame) -> DataFrame:
     return full.unionByName(cut.select(*columns))
 
 
+def mixed_whole(
+    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_epochs: int = 3, seed: str = "mix", id_column: str = "doc_id"
+) -> DataFrame:
+    """The mix as rows, whole documents only: each as often as whole repetitions have it, and once more those that the
+    fractional one takes. Columns are those of ``docs``, without the names of ADDED.
+
+    The bin at a source's cut is dealt into finer ones by a hash of id and text, and the fine bin at the cut is taken row
+    by row while at least half of the row is below the target, so that a source meets it to half a document. Rows alike
+    in all columns are told apart by their count alone. Documents without words take no part.
+    """
+    docs = docs.drop(*ADDED)
+    sized, plan = planned(docs, weights, most_epochs, seed, id_column)
+    within = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"), text_of())
+    fine = hex_number(f"{seed}:fine", within, 1, FINE_DIGITS)
+    at_cut = plan.where("_mix_share > 0 AND _mix_share < 1").select(
+        F.col("_mix_plan_source").alias("_mix_cut_source"), F.col("_mix_plan_bin").alias("_mix_cut_bin"), F.col("_mix_left").alias("_mix_cut_left"), F.col("_mix_whole").alias("_mix_cut_whole")
+    )  # a row a source
+    in_bin = F.expr("source <=> _mix_cut_source AND _mix_bin = _mix_cut_bin")
+    fines = written(
+        sized.join(at_cut, in_bin).groupBy("_mix_cut_source", "_mix_cut_left", "_mix_cut_whole", "_mix_cut_bin", fine.alias("_mix_cut_fine")).agg(F.sum("size").alias("words")), "fine_bins"
+    )  # at most 16 ** FINE_DIGITS rows a source
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("_mix_cut_source").orderBy("_mix_cut_fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = written(
+        fines.withColumn("_mix_cut_left", F.col("_mix_cut_left") - before).where("_mix_cut_left > 0 AND _mix_cut_left <= words").drop("words"), "cuts"
+    )  # a row a source
+
+    once = F.when(F.col("_mix_share") >= 1, 1).when(F.col("_mix_share") <= 0, 0).when(fine < F.col("_mix_cut_fine"), 1).otherwise(0)
+    here = (F.col("_mix_bin") == F.col("_mix_cut_bin")) & (fine == F.col("_mix_cut_fine"))
+    most = (
+        sized.where("size > 0").join(plan.drop("source_size", "target"), F.expr("source <=> _mix_plan_source AND _mix_bin = _mix_plan_bin"))
+        .join(last, F.expr("source <=> _mix_cut_source"), "left").where(~F.coalesce(here, F.lit(False)))
+        .withColumn("_mix_times", F.col("_mix_whole") + once)
+    )
+    # the rows of one fine bin a source: those alike are one row with their number
+    named = docs.withColumn("_mix_bin", hex_number(seed, F.col(id_column), 1, 2))
+    few = named.join(last, in_bin).where(fine == F.col("_mix_cut_fine")).groupBy(*docs.columns, "_mix_cut_source", "_mix_cut_left", "_mix_cut_whole").agg(F.count("*").alias("_mix_n"))
+    few = few.withColumn("size", word_count(text_of())).where("size > 0")
+    order = Window.partitionBy("_mix_cut_source").orderBy(F.md5(within), F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_mix_cut_left") - F.coalesce(F.sum(F.col("size") * F.col("_mix_n")).over(order), F.lit(0))
+    some = F.least(F.col("_mix_n"), F.greatest(F.lit(0), F.floor(left / F.col("size") + 0.5)))
+    few = few.withColumn("_mix_times", F.col("_mix_cut_whole") * F.col("_mix_n") + some)
+    times = lambda rows: rows.where("_mix_times > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select(*docs.columns)
+    return times(most).unionByName(times(few))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with what the mix takes of it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")

@@ -106,3 +106,14 @@ def test_stages_keep_the_columns(spark, docs, tmp_path):
         assert stage(spark, some.limit(0), str(tmp_path)).collect() == []
         some = after
     assert some.where(F.col("doc_id") == 6).count() == 0 and some.where(F.col("doc_id") == 5).count() > 0
+
+
+def test_mix_stage_cuts_no_text(spark):
+    rows = [(k, f"d{k} " + "w " * (5 + k % 90), "ab"[k % 2]) for k in range(600)] + [(None, "same text of null id", "c")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    got, words = corpus_pipeline.mix_sources(spark, docs, "").collect(), dict.fromkeys("abc", 0)
+    for r in got:
+        words[r.source] += len(r.text.split())
+    assert {(r.doc_id, r.text, r.source) for r in got} <= set(rows)
+    assert all(abs(words[s] - target[s]) <= 48 for s in target)  # half of the longest
