@@ -3,7 +3,9 @@
 A text is scanned by fixed patterns; then its encoded runs (percent, Unicode and character escapes, base64, hex, and
 compressed bytes in these) are unwrapped into layers, each scanned and unwrapped in turn until no layer gives a new one.
 Digests of the layers seen end cycles. Each layer maps its code points to spans of the text, so that a find in any layer
-has a span in the text: exact for escapes, the whole encoded run for base64, hex and compressed layers.
+has a span in the text: exact for escapes, the encoded run for base64, hex and compressed layers. Runs that meet over
+line ends are one run as well. Within a run every alignment is read, so that an encoded piece is found whatever it is
+glued to; its span is then the piece.
 """
 
 from __future__ import annotations
@@ -36,8 +38,18 @@ LEAST = {"assign": 8, "access": 16}
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEXRUN = re.compile(r"(?:[0-9A-Fa-f]{2}){8,}")
-#: A layer beyond this many bytes isn't unwrapped from compressed bytes: a guard against bombs, far above any text.
-MOST_BYTES = 64 << 20
+#: What parts the lines of a wrapped run: white space, quotes, marks of quoted or commented lines; line ends may be escapes.
+BREAK = re.compile(r"""["'\\\x20\t]*(?:\r?\n|\r|\\r\\n|\\n|\\r)["'\x20\t>#*|]*""")
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+)*={{0,2}}")
+#: A shorter line that a wrapped run begins with.
+HEAD = re.compile(rf"[A-Za-z0-9+/_-]{{1,15}}{BREAK.pattern}\Z")
+HEXPIECE = re.compile(r"[0-9A-Fa-f]{16,}")
+#: Text among other bytes: as long as the shortest secret, ``token=`` and 8 more.
+STRETCH = re.compile(rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
+#: First bytes of gzip, bzip2, xz and zlib.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x78[\x01\x5e\x9c\xda]")
+#: A layer beyond this many bytes is scanned in parts that overlap, as its bytes come out, so that none is held whole.
+MOST_BYTES, OVERLAP, PIECE = 64 << 20, 1 << 20, 1 << 16
 
 Span = tuple[str, int, int]
 
@@ -78,23 +90,85 @@ def readable(data: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0E-\x1F\x7F]", text) else None
 
 
-def inflate(data: bytes) -> bytes | None:
-    """Bytes out of gzip, zlib, bzip2 or xz, found by their first bytes."""
+def engine(data: bytes):
+    """A decompressor for the format that the first bytes tell, or None."""
+    if not MAGIC.match(data):
+        return None
+    if data[:1] in (b"\x1f", b"x"):
+        return zlib.decompressobj(31 if data[:1] == b"\x1f" else 15)
+    return bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
+
+
+def inflate(data: bytes, chunks: Iterator[bytes], left: list[int]) -> Iterator[bytes]:
+    """Bytes out of compressed ones, ``data`` and then ``chunks``, PIECE at most at a time; members that follow one
+    another are one stream. ``left`` gets the number of bytes read beyond it. Raises where the first member is damaged
+    or ends early; a later one that is ends the stream."""
+    now, first, over = engine(data), True, 0
+    while True:
+        try:
+            piece = now.decompress(data, PIECE)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            if first:
+                raise
+            break
+        if piece:
+            yield piece
+        if now.eof:
+            rest, data, first = now.unused_data, now.unused_data, False
+            if isinstance(now, lzma.LZMADecompressor):
+                data = data.lstrip(b"\0")  # padding of streams
+            over = len(rest)
+            while len(data) < 10 and (more := next(chunks, b"")):
+                data, over = data + more, over + len(more)
+            now = engine(data)
+            if now is None:
+                break
+            continue
+        data = getattr(now, "unconsumed_tail", b"")
+        if not data and getattr(now, "needs_input", True):
+            data = next(chunks, b"")
+            over += len(data)
+            if not data and not piece:
+                if first:
+                    raise EOFError
+                break
+    left.append(over)
+
+
+def inflated(data: bytes, left: list[int]) -> Iterator[bytes]:
+    """What compressed bytes hold, compressed layers in it resolved too: one part, or beyond MOST_BYTES overlapping
+    ones. None where they are damaged."""
+    chunks = (data[k : k + PIECE] for k in range(PIECE, len(data), PIECE))
+    stream, heads = inflate(data[:PIECE], chunks, left), set()
     try:
-        if data[:2] == b"\x1f\x8b":
-            engine = zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-            engine = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            engine = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\0":
-            engine = lzma.LZMADecompressor()
-        else:
-            return None
-        out = engine.decompress(data, MOST_BYTES)
-        return out if engine.eof else None
+        while True:
+            head = b""
+            while len(head) < PIECE and (more := next(stream, b"")):
+                head += more
+            digest = hashlib.sha256(head).digest()
+            if not engine(head) or digest in heads:  # bytes that hold themselves end here
+                break
+            heads.add(digest)
+            stream = inflate(head, stream, [])
+        part = bytearray(head)
+        for more in stream:
+            part += more
+            if len(part) > MOST_BYTES:
+                yield bytes(part)
+                del part[: -min(OVERLAP, MOST_BYTES // 2)]
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
+        return
+    left.append(sum(map(len, chunks)))
+    yield bytes(part)
+
+
+def texts(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of the bytes where all are text, or of the stretches that are."""
+    if whole := readable(data):
+        yield whole, 0, len(data)
+    else:
+        for m in STRETCH.finditer(data):
+            yield m[0].decode(errors="replace"), m.start(), m.end()
 
 
 def unescaped(run: str) -> list[tuple[int, int, str]]:
@@ -175,10 +249,54 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
         yield new
     for m in ENCODED.finditer(text):
         for data in decoded(m[0]):
-            while (more := inflate(data)) is not None and more != data:
-                data = more
-            if inner := readable(data):
-                yield Layer(inner, [(0, *layer.span(m.start(), m.end()), False)])
+            whole = [(0, *layer.span(m.start(), m.end()), False)]
+            if MAGIC.match(data):
+                for part in inflated(data, []):
+                    yield from (Layer(inner, whole) for inner, _, _ in texts(part))
+            elif inner := readable(data):
+                yield Layer(inner, whole)
+    for m in WRAPPED.finditer(text):
+        for inner, start, end in pieces(text, m.start(), m.end()):
+            yield Layer(inner, [(0, *layer.span(start, end), False)])
+
+
+def readings(run: str) -> Iterator[tuple[bytes, int, int, int]]:
+    """(bytes, at, characters, bytes) of a run at each alignment: base64 in either alphabet, 4 to 3, and hex, 2 to 1."""
+    plain = run.replace("-", "+").replace("_", "/")
+    for at in range(min(4, len(plain))):
+        core = plain[at : len(plain) - ((len(plain) - at) % 4 == 1)]
+        yield base64.b64decode(core + "=" * (-len(core) % 4)), at, 4, 3
+    for m in HEXPIECE.finditer(run):
+        for at in (m.start(), m.start() + 1):
+            yield bytes.fromhex(run[at : m.end() - (m.end() - at) % 2]), at, 2, 1
+
+
+def pieces(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of what is encoded anywhere in a run that may be wrapped over lines."""
+    if head := HEAD.search(text, max(0, start - 64), start):
+        start = head.start()
+    lines, places, size, at = [], [], 0, start
+    for stop, go in [*((b.start(), b.end()) for b in BREAK.finditer(text, start, end)), (end, end)]:
+        lines.append(text[at:stop])
+        places.append((size, at))
+        size, at = size + stop - at, go
+    run = "".join(lines).rstrip("=")
+    starts = [p[0] for p in places]
+
+    def place(k: int) -> int:
+        first, there = places[bisect_right(starts, k) - 1]
+        return there + k - first
+
+    for data, at, wide, narrow in readings(run):
+        there = lambda p, q: (place(at + p * wide // narrow), end if at - (-q * wide // narrow) >= len(run) else place(at - (-q * wide // narrow) - 1) + 1)  # noqa: B023, E731
+        if at or len(lines) > 1 or not (readable(data) or MAGIC.match(data)):  # else the run as a whole has given it
+            for inner, p, q in texts(data):
+                yield inner, *there(p, q)
+        for m in MAGIC.finditer(data):
+            if at or len(lines) > 1 or m.start():
+                left: list[int] = []
+                for part in inflated(data[m.start() :], left):
+                    yield from ((inner, *there(m.start(), len(data) - sum(left))) for inner, _, _ in texts(part))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:

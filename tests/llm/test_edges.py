@@ -1,5 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
 
+import base64
+import gzip
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +121,36 @@ def test_mix_stage_cuts_no_text(spark):
         words[r.source] += len(r.text.split())
     assert {(r.doc_id, r.text, r.source) for r in got} <= set(rows)
     assert all(abs(words[s] - target[s]) <= 48 for s in target)  # half of the longest
+
+
+KEY = "password=abcdefgh1"
+PLAIN = base64.b64encode(f"first line, then {KEY} and more of it after that".encode()).decode()
+SQUEEZED = base64.b64encode(gzip.compress(bytes(random.Random(1).randbytes(200).hex() + KEY, "ascii"))).decode()
+
+
+def wrapped(text, width, end="\n"):
+    return end.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+@pytest.mark.parametrize(
+    "run",
+    [wrapped(PLAIN, 20), wrapped(SQUEEZED, 64), wrapped(SQUEEZED, 76, "\r\n    "), wrapped(SQUEEZED, 64, "\\n")]
+    + [wrapped(KEY.encode().hex() * 3, 60), base64.b64encode(gzip.compress(b"one ") + gzip.compress(KEY.encode())).decode()],
+)
+def test_wrapped_runs_and_members(run):
+    text = f"see\n\n{run} end"
+    assert ("assign", 5, 5 + len(run)) in secrets.find(text)[1]
+
+
+@pytest.mark.parametrize("before", ["/cb/", "id_", "a-", "x_y/"])
+@pytest.mark.parametrize("run", [PLAIN, SQUEEZED, KEY.encode().hex()])
+def test_glued_runs(before, run):
+    (kind, a, b), *_ = [s for s in secrets.find(f"{before}{run} end")[1] if s[0] == "assign"]
+    assert a <= len(before) and b >= len((before + run).rstrip("="))
+
+
+def test_layers_over_the_guard(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BYTES", 1 << 17)
+    for inner in (gzip.compress(b"plain words " * 50000 + KEY.encode()), gzip.compress(gzip.compress(b"a " * 200000 + KEY.encode() + b" b" * 200000))):
+        run = base64.b64encode(inner).decode()
+        assert ("assign", 0, len(run)) in secrets.find(run)[1]
