@@ -54,15 +54,17 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 50) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank. ``seeds`` (host, kind, mass), summing to 1 per kind; ``edges`` (kind, src, dst, share),
     the shares of a src summing to 1. Mass of hosts without links goes back to the seeds. Returns (host, kind, score).
 
-    Ends when the scores of all hosts together change by less than ``tolerance``. Empty tables: an empty result.
+    Ends when the scores of all hosts together change by less than ``tolerance``, and each by no more than ``tolerance``
+    of itself, so that hosts far from the seeds, or of small score among many, have theirs too. That is met at any size:
+    changes shrink by ``damping`` in each round. Empty tables: an empty result.
     """
     edges = written(edges, "edges")
     seeds = state = written(seeds.select("host", "kind", F.col("mass").alias("score")), "seeds")
-    for _ in range(most_rounds):
+    while True:
         moved = (
             state.join(edges, (state.host == edges.src) & (state.kind == edges.kind))
             .groupBy(F.col("dst").alias("host"), edges.kind.alias("kind"))
@@ -80,22 +82,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
         change = (
             after.select("host", "kind", "score")
             .unionByName(state.select("host", "kind", (-F.col("score")).alias("score")))
-            .groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("d"))
-            .agg(F.sum("d")).first()[0]
+            .groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("d"), F.max("score").alias("score"))
+            .agg(F.sum("d"), F.count(F.when(F.col("d") > tolerance * F.col("score"), 1))).first()
         )
         state = after
-        if (change or 0.0) < tolerance:
-            break
-    return state
+        if (change[0] or 0.0) < tolerance and not change[1]:
+            return state
 
 
 def filter_urls(
-    pages: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "page_id", threshold: float = 1.0, floor: float = 1e-9
+    pages: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "page_id", threshold: float = 1.0, floor: float = 0.0
 ) -> DataFrame:
     """A row for each page: id, host, path, rule, verdict, trust, distrust.
 
     The rule's verdict holds where one fits. Else the host's: block if its distrust is over ``floor`` and over
-    ``threshold`` times its trust, else allow; a host that neither reaches is allowed, as is the empty host.
+    ``threshold`` times its trust, else allow; a host that neither reaches is allowed, as is the empty host. Scores are
+    shares of all seeds, so that a ``floor`` over 0 means less on small tables than on large ones.
     Null html has no links; repeated rows are judged alike, and add to their hosts' mass; other columns are left out.
     """
     host, path = host_and_path(F.col("url"))

@@ -154,3 +154,19 @@ def test_layers_over_the_guard(monkeypatch):
     for inner in (gzip.compress(b"plain words " * 50000 + KEY.encode()), gzip.compress(gzip.compress(b"a " * 200000 + KEY.encode() + b" b" * 200000))):
         run = base64.b64encode(inner).decode()
         assert ("assign", 0, len(run)) in secrets.find(run)[1]
+
+
+def test_verdicts_do_not_hang_on_size(spark):
+    farm = "concat('http://l', id, '.net/')"
+    pages = spark.sql(f"""
+        SELECT id AS page_id, 'http://bad.com/de/1' AS url, CAST(NULL AS STRING) AS html FROM range(20000) UNION ALL
+        SELECT 0, 'http://worse.com/de/1', NULL UNION ALL
+        SELECT id, {farm}, '<a href="http://worse.com/">' FROM range(50000)""")
+    assert url_filter.filter_urls(pages).where("host LIKE '%.net' AND verdict = 'allow'").count() == 0
+
+
+def test_scores_reach_all_hosts(spark):
+    edges = spark.createDataFrame([("trust", f"h{k}", f"h{k + 1}", 1.0) for k in range(12)], "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("h0", "trust", 1e-7), ("far", "trust", 1 - 1e-7)], "host string, kind string, mass double")
+    got = {r.host: r.score for r in url_filter.propagate(seeds, edges).collect()}
+    assert len(got) == 14 and all(abs(got[f"h{k}"] / got["h0"] - 0.85**k) < 1e-4 * 0.85**k for k in range(13))
