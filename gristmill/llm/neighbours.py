@@ -76,14 +76,14 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
 
 
 def fit(classes: DataFrame, k: int, tables: int = 2, recall: float = 0.98, seed: int = 7) -> Index | None:
-    """Directions by seed; width, norm and radius by a sample of SAMPLE_ROWS rows at most, by a hash of the id."""
+    """For vectors of one length. Directions by seed; width, norm and radius by a sample of SAMPLE_ROWS rows at most, by a hash of the id."""
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, norm = classes.agg(F.count("*"), F.max(size)).first()
     if not n:
         return None
     rows = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow().column("v").to_pylist()
-    dim = max(map(len, rows))
-    sample = np.array([r for r in rows if len(r) == dim])
+    sample = np.array(rows)
+    dim = sample.shape[1]
     functions = max(2, round(math.log2(max(4, n / 2048)) / 2))
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((tables, functions, dim + 1))
@@ -101,18 +101,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
     """The ``k`` nearest rows of ``vectors`` to each row of ``queries`` (both with id and vector), by inner product:
     query_id, rank from 1, the found id, score; the query's own id is no candidate, ties go to the smaller id.
 
-    Vectors that are null, zero, of another length than the others, or hold null or non-finite components take no part.
+    Vectors that are null, zero, of another length than most of the distinct ones (of two such lengths, the greater), or
+    hold null or non-finite components take no part.
     Rows that repeat an id and a vector count once. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)[id_column]
     grouped = _classes(usable(vectors, id_column, column), k + 1)
     classes = written(grouped, "vectors")
+    lengths = classes.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()  # a row a length
+    dim = lengths["n"] if lengths else 0
+    classes = classes.where(F.size("v") == dim)
     index = fit(classes.withColumn("id", F.element_at("ids", 1)), k, tables, recall)
     if index is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_column} {kind}, score double")
-    dim = index.directions.shape[2] - 1
-    rows = classes.where(F.size("v") == dim).select(F.element_at("ids", 1).alias("class"), "v")
+    rows = classes.select(F.element_at("ids", 1).alias("class"), "v")
     asked = written(usable(queries, id_column, column).where(F.size("v") == dim).distinct(), "queries")
     texts = written(asked.groupBy("v").agg(F.min("id").alias("query")), "query_vectors")
 

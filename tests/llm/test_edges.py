@@ -170,3 +170,10 @@ def test_scores_reach_all_hosts(spark):
     seeds = spark.createDataFrame([("h0", "trust", 1e-7), ("far", "trust", 1 - 1e-7)], "host string, kind string, mass double")
     got = {r.host: r.score for r in url_filter.propagate(seeds, edges).collect()}
     assert len(got) == 14 and all(abs(got[f"h{k}"] / got["h0"] - 0.85**k) < 1e-4 * 0.85**k for k in range(13))
+
+
+def test_neighbours_beside_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (22, [2.0, 1.0]), (23, [1.0, 0.0, 0.0]), (40, [9.0] * 7), (24, [5.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in neighbours.search(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 22, 2.0), (0, 2, 20, 1.0), (20, 1, 22, 2.0), (20, 2, 0, 1.0)]
