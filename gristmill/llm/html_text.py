@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -23,6 +24,7 @@ from gristmill.llm.url_filter import host_and_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+TOKENS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -47,17 +49,25 @@ ENDS = {
 #: No end tag or implied end reaches beyond these.
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th ul ol dl blockquote".split())
 SPACE = re.compile(r"\s+")
-#: Elements nested deeper than this are taken as closed where they open; their text stays.
-DEEPEST = 150
+#: The tree keeps elements nested deeper than this as marks only: their text is their ancestor's, in order. Those outside
+#: the article and article elements keep their own, DEEPER levels more; end tags are matched at any depth.
+DEEPEST, DEEPER = 150, 20
+#: Names in the article itself are whole class or role tokens, or a div's whole id.
+INNER_NAMES = re.compile(
+    rf"(?:(?:site|page|post|article|entry|main|top|bottom|left|right|social)[_-])?(?:{OUTSIDE_NAMES.pattern.removeprefix(r'(?:^|[\s_-])(?:').removesuffix(r')(?=$|[\s_-])')})"
+    r"(?:[_-](?:box|bar|list|links?|posts?|articles?|buttons?|icons?|container|wrapper|wrap|block|unit|slot|inner|\d+))*",
+    re.I,
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
     """An element: its tag, what its class, id and role say, and its children, which are elements or texts."""
 
-    __slots__ = ("tag", "names", "children")
+    __slots__ = ("tag", "names", "children", "tokens")
 
-    def __init__(self, tag: str, names: str = ""):
-        self.tag, self.names, self.children = tag, names, []
+    def __init__(self, tag: str, names: str = "", tokens: tuple[str, ...] = ()):
+        self.tag, self.names, self.children, self.tokens = tag, names, [], tokens
 
     @property
     def key(self) -> str:
@@ -69,11 +79,22 @@ class Node:
             return True
         return bool(self.names) and self.tag not in ("html", "body", *MAIN) and bool(OUTSIDE_NAMES.search(self.names))
 
+    @property
+    def outside_within(self) -> bool:
+        """As ``outside``, within an article: neither headings nor anchors' ids nor parts of a name tell."""
+        if self.tag in OUTSIDE or "\0" in self.names:
+            return True
+        return self.tag not in HEADINGS and self.tag not in MAIN and any(map(INNER_NAMES.fullmatch, self.tokens))
+
 
 def parse(page: str) -> Node:
     """The token stream as a tree. Inline tags leave only their text; ends that are missing are implied, stray ones dropped."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, levels, opened, at = [root], [0], Counter(), 0
+
+    def close(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:], levels[k:]
 
     def text(part: str) -> None:
         if part:
@@ -107,26 +128,33 @@ def parse(page: str) -> Node:
                 text("\2" if slash else "\1")  # marks of link text, taken out again
             continue
         if slash:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE and tag not in SCOPE:
                     break
             continue
         for k in range(len(stack) - 1, 0, -1):
             if tag in ENDS.get(stack[k].tag, ()):
-                del stack[k:]
+                close(k)
                 break
             if stack[k].tag in SCOPE:
                 break
         names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)).strip() if rest else ""
         if rest and HIDDEN.search(rest):
             names += "\0"
-        node = Node(tag, names)
+        tokens = [t for name, a, b, c in TOKENS.findall(rest) if name.lower() != "id" or tag == "div" for t in (a or b or c).split()] if names else []
+        node = Node(tag, names, tuple(tokens))
         stack[-1].children.append(node)
-        if tag != "hr" and not rest.endswith("/") and len(stack) < DEEPEST:
+        if tag != "hr" and not rest.endswith("/"):
+            level = levels[-1] + 1
+            if level >= DEEPEST and not (level < DEEPEST + DEEPER and (node.outside or tag in MAIN)):
+                node, level = Node(tag, names), levels[-1]  # what it holds is its ancestor's
+                node.children = stack[-1].children
             stack.append(node)
+            levels.append(level)
+            opened[tag] += 1
     if at < len(page):
         text(page[at:])
     return root
@@ -228,15 +256,15 @@ def is_outside(key: str) -> bool:
     return Node(tag, names).outside
 
 
-def blocks(node: Node, depth: int = 0) -> Iterator[str]:
-    """The blocks' texts under a node in page order, without regions outside the article. A header holding the
+def blocks(node: Node, within: bool = False) -> Iterator[str]:
+    """The blocks' texts under a node in page order, without regions outside the article; ``within`` it, names count less. A header holding the
     article's headings stays; one beside the article has been left out with the region."""
     for child in node.children:
         if isinstance(child, str):
             if text := clean(child):
                 yield text
-        elif not child.outside:
-            yield from blocks(child, depth + 1)
+        elif not (child.outside_within if within else child.outside):
+            yield from blocks(child, within or child.tag in MAIN)
 
 
 def regions(node: Node, path: list[str], exact: bool = True) -> Iterator[Node]:
@@ -261,7 +289,7 @@ def extract(page: str, path: list[str]) -> str:
     top_header = lambda n: n.tag == "header" and len(found) == 1 and found[0].tag in ("#root", "html", "body")
     for node in found:
         node.children = [c for c in node.children if isinstance(c, str) or not top_header(c)]
-    return "\n".join(b for n in found for b in blocks(n))
+    return "\n".join(b for n in found for b in blocks(n, n.tag not in ("#root", "html", "body")))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:

@@ -177,3 +177,15 @@ def test_neighbours_beside_other_lengths(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r) for r in neighbours.search(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 22, 2.0), (0, 2, 20, 1.0), (20, 1, 22, 2.0), (20, 2, 0, 1.0)]
+
+
+def test_end_tags_of_deep_elements():
+    deep = "<div>" * 400 + "deep<nav>menu</nav><form>ask</form>" + "</div>" * 400
+    page = f"<body><div>top</div><div><article><p>before</p>{deep}<p>after</p></article></div><div>end</div></body>"
+    assert html_text.extract(page, html_text.main_region(html_text.expression(html_text.parse(page)))).split() == ["before", "deep", "after"]
+
+
+def test_names_within_the_article():
+    page = """<body><article><h2 id="related-work">Related</h2><p>one</p><section id="search-methods"><p>two</p></section>
+        <div class="ad">buy</div><div class="related-posts">more</div><div role="navigation">go</div></article></body>"""
+    assert html_text.extract(page, html_text.main_region(html_text.expression(html_text.parse(page)))).split() == ["Related", "one", "two"]
