@@ -2,7 +2,7 @@
 
 Blank, tab and line ends part texts into chunks, and so does the place between a letter and the marks that end its
 chunk. The tokenizer drops white space and never joins what these part, so that a text's ids are its chunks' ids in
-order; each worker encodes a chunk once and keeps its ids in a bounded cache. ASCII letters are lower-cased first, which
+order; each task encodes a chunk once and keeps its ids in a bounded cache. ASCII letters are lower-cased first, which
 the tokenizer does too, where that can't change how the text composes.
 """
 
@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 1_000_000
+#: Bytes that a task's cache has, about, before it starts anew; and of an entry besides its chunk and ids.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
 #: Code points that are encoded at once.
-AT_ONCE = 16_000_000
+AT_ONCE = 4_000_000
 MARKS = r".,;:!?*#%$&"
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,16 +37,24 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids, as bytes. The cache starts anew when it is full."""
+@lru_cache(maxsize=1)
+def tokenizers_of(path: str):
+    """The tokenizer, and the same without normalizer and pre-tokenizer; a worker reads them once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    # a lower-case word in its composed form is what the normalizer and the pre-tokenizer leave as it is, but for its bytes' names
+    bare = json.loads(Path(path).read_text()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+    return Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(bare))
+
 
-    def __init__(self, path: str, most: int = CACHE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class ChunkEncoder:
+    """Little-endian unsigned 32-bit ids, as bytes. The cache starts anew when it has ``most`` bytes; tasks each make
+    an encoder of their own, so that it ends with them."""
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
-        # a lower-case word in its composed form is what the normalizer and the pre-tokenizer leave as it is, but for its bytes' names
-        self.bare = Tokenizer.from_str(json.dumps(json.loads(Path(path).read_text()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+    def __init__(self, path: str, most: int = CACHE_BYTES):
+        self.tokenizer, self.bare = tokenizers_of(path)
+        self.most, self.held, self.known = most, 0, {"": b""}
 
     @staticmethod
     def prepared(text: str) -> str:
@@ -56,15 +65,15 @@ class ChunkEncoder:
         return low.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
         plain = [c for c in new if c.isalpha() and c == c.lower() and is_normalized("NFC", c)]
         named = [c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_NAMES) for c in plain]
         other = list(new.difference(plain))
         for chunks, inputs, tokenizer in ((plain, named, self.bare), (other, other, self.tokenizer)):
             for at in range(0, len(chunks), 5000):
                 found = tokenizer.encode_batch_fast(inputs[at : at + 5000], add_special_tokens=False)
-                self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(chunks[at : at + 5000], found, strict=True))
+                for c, e in zip(chunks[at : at + 5000], found, strict=True):
+                    self.known[c] = ids = array("I", e.ids).tobytes()
+                    self.held += ENTRY_BYTES + len(c) + len(ids)
 
     def _distinct(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of the chunks, marks that end a chunk looked up by themselves."""
@@ -78,10 +87,11 @@ class ChunkEncoder:
                     cores[k] = c
         need = {*cores, *tails.values()}
         new = need.difference(self.known)
+        if new and self.held > self.most:
+            self.held, self.known, new = 0, {"": b""}, need - {""}
         if new:
-            self._learn(need - {""} if len(self.known) + len(new) > self.most else new)
+            self._learn(new)
         known = self.known
-        known[""] = b""
         out = [known[c] for c in cores]
         for k, tail in tails.items():
             out[k] += known[tail]
@@ -121,9 +131,3 @@ class ChunkEncoder:
         bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
         for k in range(len(texts)):
             yield np.frombuffer(self.encode(texts[k]), np.uint32) if k in odd else every[bounds[k] : bounds[k + 1]]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """One for each worker."""
-    return ChunkEncoder(path)
