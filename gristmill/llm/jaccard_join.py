@@ -5,9 +5,11 @@
    is the hash's, with frequent shingles last, so that shared passages don't fill the keys. Keys that two classes have
    part the join over the cluster; no pair is made from them.
 3. Under a key, classes are points: shingles are hashed into groups, the counts are the coordinates. An R-tree bounds
-   the overlap with a whole node by the sum of coordinate minima; what passes is a candidate.
-4. Candidates are verified on whole sets. A component proposes its best candidates outside it first, more in each round
-   until none is left: what a component's links already join is never expanded into pairs.
+   the overlap with a whole node by the sum of coordinate minima; what passes is a candidate. A key with many classes is
+   dealt into blocks, and each pair of blocks is a task's work by itself.
+4. Candidates are verified on whole sets, which are made of their texts again. A component proposes its best candidates
+   outside it first, more in each round until none is left: what a component's links already join is never expanded into
+   pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import by_batch, text_of, written
+from gristmill.llm.common import by_batch, map_batches, text_of, written
 from gristmill.llm.components import components
 
 WORDS = 5
@@ -29,8 +31,10 @@ WORDS = 5
 PART, WHOLE = 4, 5
 #: Bits of the table of frequent shingles.
 FREQUENT_BITS = 22
-#: Ids up to which a side is broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Bytes of ids up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 8_000_000
+#: Classes of a block of a key.
+BLOCK = 1024
 LEAF = 32
 MOST_GROUPS = 512
 QUERIES = 1024
@@ -152,13 +156,23 @@ def met_before(firsts: np.ndarray, a: np.ndarray, b: np.ndarray, key: int) -> np
 
 
 def proposals(
-    ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], most: int, key: int = 0, firsts: np.ndarray | None = None
+    ids: np.ndarray,
+    roots: np.ndarray,
+    sizes: np.ndarray,
+    vectors: list[np.ndarray],
+    most: int,
+    key: int = 0,
+    firsts: np.ndarray | None = None,
+    blocks: np.ndarray | None = None,
 ) -> tuple[set[tuple[int, int]], bool]:
-    """Pairs of ids under one key, each component's ``most`` best candidates outside it for each block of queries; and
-    whether some component has more. With ``firsts``, without those that met before ``key``."""
+    """Pairs of ids under one key, each component's ``most`` best candidates outside it for each run of queries; and
+    whether some component has more. With ``firsts``, without those that met before ``key``; with ``blocks``, a number for
+    each row, only pairs of unlike ones."""
     pairs: set[tuple[int, int]] = set()
     more = False
     if len(ids) == 2:
+        if blocks is not None and blocks[0] == blocks[1]:
+            return pairs, False
         width = min(map(len, vectors))
         bound = int(np.minimum(folded(vectors[0], width), folded(vectors[1], width)).sum())
         met = firsts is not None and met_before(firsts, np.array([0]), np.array([1]), key)[0]
@@ -175,6 +189,8 @@ def proposals(
             some = rows[at : at + QUERIES]
             q, p, bound = tree.search(points[at : at + QUERIES], sizes[some])
             fits = roots[some[q]] != roots[rows[p]]
+            if blocks is not None:
+                fits &= blocks[some[q]] != blocks[rows[p]]
             q, p, bound = q[fits], p[fits], bound[fits]
             if firsts is not None:
                 fits = ~met_before(firsts, some[q], rows[p], key)
@@ -202,21 +218,23 @@ def by_texts(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Rec
 
 
 def sets_table(docs: DataFrame, id_column: str) -> DataFrame:
-    """(id, n, cid, often): each document's set size and class; the frequent shingles of a part of a batch stand in its first row."""
+    """(id, digest, n, cid, often): each document's text's digest, set size and class; the frequent shingles of a part of
+    a batch stand in its first row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [shingles(t.as_py()) for t in batch.column(1)]
+        found = [shingles(t.as_py()) for t in batch.column(2)]
         values, counts = np.unique(np.concatenate(found), return_counts=True)
         often = np.unique(values[counts >= max(4, len(found) // 2000)] & np.uint64((1 << FREQUENT_BITS) - 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([class_id(f) if len(f) else None for f in found], pa.int64()),
+                batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([class_id(f) if len(f) else None for f in found], pa.int64()),
                 pa.array([often.tolist(), *[None] * (len(found) - 1)], pa.list_(pa.int32())),
             ],
-            names=["id", "n", "cid", "often"],
+            names=["id", "digest", "n", "cid", "often"],
         )
 
-    return by_texts(docs.select(F.col(id_column).alias("id"), text_of().alias("text")), run, f"id {dict(docs.dtypes)[id_column]}, n long, cid long, often array<int>")
+    texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_of()).alias("digest"), text_of().alias("text"))
+    return by_texts(texts, run, f"id {dict(docs.dtypes)[id_column]}, digest long, n long, cid long, often array<int>")
 
 
 def frequent_table(often: DataFrame) -> np.ndarray:
@@ -298,68 +316,93 @@ def keyed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         yield from give(held, tested(held))
 
     keys = by_texts(docs.select(text_of().alias("text")), prefixes, "key long, cid long, n int, place int")
-    return keys.repartition("key").sortWithinPartitions("key", "n", "cid").mapInArrow(shared, "key long, cid long").distinct()
+    return map_batches(keys.repartition("key").sortWithinPartitions("key", "n", "cid"), shared, "key long, cid long").distinct()
 
 
-def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
-    """(cid, n, vector, shingles) of the classes whose first documents' ids are in ``wanted`` (id)."""
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    some = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).join(wanted, "id", "left_semi").select("text")
+def narrowed(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """(text) of ``docs`` whose ids are in the written table ``ids`` (first), null among them."""
+    rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text"))
+    return rows.join(small(ids), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("text")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The written table, to be broadcast where it has few bytes; else Spark decides."""
+    wide = sum((F.lit(8) if kind in ("bigint", "int") else F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 16 for name, kind in table.dtypes), F.lit(0))
+    return F.broadcast(table) if (table.agg(F.sum(wide)).first()[0] or 0) <= BROADCAST_BYTES else table
+
+
+def by_class(texts: DataFrame, give: dict[str, tuple[str, pa.DataType, Callable]]) -> DataFrame:
+    """(cid, ...) of the texts' classes, a column for each of ``give``: its kinds and what makes it of a set."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         # an id that rows repeat may give its class again in another batch, which only gives its pairs again
         found = list({class_id(f): f for f in (shingles(t.as_py()) for t in batch.column(0)) if len(f)}.values())
         for at in range(0, len(found), 1000):
             part = found[at : at + 1000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([class_id(f) for f in part], pa.int64()), pa.array([len(f) for f in part], pa.int64()),
-                    pa.array([count_vector(f) for f in part], pa.binary()), pa.array([f.tobytes() for f in part], pa.binary()),
-                ],
-                names=["cid", "n", "vector", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([class_id(f) for f in part], pa.int64()), *(pa.array(list(map(make, part)), kind) for _, kind, make in give.values())], names=["cid", *give])
+
+    return by_texts(texts, run, "cid long, " + ", ".join(f"{name} {form}" for name, (form, _, _) in give.items()))
+
+
+def points_table(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
+    """(cid, n, vector) of the classes whose first documents' ids are in ``wanted`` (first)."""
+    return by_class(narrowed(docs, wanted, id_column), {"n": ("long", pa.int64(), len), "vector": ("binary", pa.binary(), count_vector)})
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
+    """(cid, shingles) of the classes whose first documents' ids are in ``wanted`` (first)."""
+    return by_class(narrowed(docs, wanted, id_column), {"shingles": ("binary", pa.binary(), np.ndarray.tobytes)})
 
-    return by_texts(some, run, "cid long, n long, vector binary, shingles binary")
+
+def dealt(members: DataFrame) -> DataFrame:
+    """``members`` with columns i, j and block. A key with more classes than ``BLOCK`` has them in blocks by a hash of
+    the class, and every row once for each pair (i, j) of blocks that its own is in; other keys are one block."""
+    large = written(members.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > BLOCK), "large")  # a row for BLOCK rows at most
+    blocks = F.coalesce(F.ceil(F.col("many") / BLOCK), F.lit(1)).cast("int")
+    own = F.col("block")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    with_block = members.join(large, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    return with_block.withColumn("p", F.explode(pairs)).select(*members.columns, "p.i", "p.j", "block")
 
 
 def proposed(members: DataFrame, most: int) -> DataFrame:
     """(key, a, b, more): candidates under every key of ``members`` (key, cid, root, n, vector, firsts), and whether the
-    key has more than these. Two classes whose ``firsts`` have a lesser key in common are left to that key. The rows come sorted by key; a key's rows are held in one task as points, never as pairs."""
+    key has more than these. Two classes whose ``firsts`` have a lesser key in common are left to that key. A task holds
+    the points of one pair of a key's blocks, never pairs of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        group, held = None, []
 
         def give() -> Iterator[pa.RecordBatch]:
-            ids, roots, sizes, vectors, lists = zip(*held, strict=True)
-            firsts = np.full((len(ids), FIRST_KEYS), np.iinfo(np.int64).max)
+            ids, roots, sizes, vectors, lists, own = zip(*held, strict=True)
+            (key, i, j), firsts = group, np.full((len(ids), FIRST_KEYS), np.iinfo(np.int64).max)
             for row, some in zip(firsts, lists, strict=True):
                 row[: len(some)] = some
-            pairs, more = proposals(np.array(ids), np.array(roots), np.array(sizes), list(map(vector_of, vectors, sizes)), most, key, firsts)
+            pairs, more = proposals(np.array(ids), np.array(roots), np.array(sizes), list(map(vector_of, vectors, sizes)), most, key, firsts, np.array(own) if i < j else None)
             rows = [(key, a, b, more) for a, b in sorted(pairs)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "a", "b", "more"])
 
         for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != group:
                     if len(held) > 1:
                         yield from give()
-                    key, held = k, []
+                    group, held = (key, i, j), []
                 held.append(row)
         if len(held) > 1:
             yield from give()
 
-    rows = members.select("key", "cid", "root", "n", "vector", "firsts")
-    return rows.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "key long, a long, b long, more boolean")
+    rows = dealt(members).select("key", "i", "j", "cid", "root", "n", "vector", "firsts", "block")
+    return map_batches(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid"), run, "key long, a long, b long, more boolean")
 
 
-def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) whose whole sets are similar enough."""
-    sets = points.select("cid", "shingles")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
+    """``pairs`` (a, b) whose whole sets are similar enough. The sets are made again of the texts that pairs need, so
+    that none is stored for the others. ``classes`` (cid, first)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    if ids.count() <= BROADCAST_IDS:  # sets that no pair needs aren't shuffled then
-        sets = sets.join(F.broadcast(ids), "cid", "left_semi")
+    wanted = written(classes.join(ids, "cid", "left_semi").select("first").distinct(), "ids")
+    sets = written(sets_of(docs, wanted, id_column), "sets_of_pairs")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -374,33 +417,47 @@ def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return by_batch(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def class_links(shared: DataFrame, points: DataFrame) -> DataFrame:
+def class_links(shared: DataFrame, points: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
     """(cid, root) of all classes that have a link to another. ``shared`` (key, cid) is every key that two classes have."""
-    vectors = points.select("cid", "n", "vector")
     first = shared.withColumn("k", F.row_number().over(Window.partitionBy("cid").orderBy("key")))
 
     def carrying(most: int) -> DataFrame:
         lists = first.where(F.col("k") <= most).groupBy("cid").agg(F.collect_list("key").alias("firsts"))
-        return vectors.join(lists, "cid")
+        return points.join(lists, "cid")
 
     members = first.where("k <= 2").select("key", "cid").join(carrying(2), "cid").withColumn("root", F.col("cid"))
     few = written(proposed(members, 2).select("a", "b").distinct(), "pairs")  # most classes end in their components here
-    links, checked = written(verified(few, points), "links"), few
-    most, left, vectors = 4, shared, written(carrying(FIRST_KEYS), "vectors")
+    links, checked = written(verified(few, classes, docs, id_column), "links"), few
+    roots = written(components(links), "roots")
+    most, left, vectors = 8, shared, written(carrying(FIRST_KEYS), "vectors")
     while True:
-        roots = written(components(links), "roots").toDF("cid", "_root")
-        rooted = left.join(roots, "cid", "left").select("key", "cid", F.coalesce("_root", "cid").alias("root"))
-        open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        rooted = left.join(roots.toDF("cid", "_root"), "cid", "left").select("key", "cid", F.coalesce("_root", "cid").alias("root"))
+        open_keys = written(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "open")
         found = written(proposed(rooted.join(open_keys, "key", "left_semi").join(vectors, "cid"), most), "pairs")
         again = written(found.where("more").select("key").distinct(), "keys")  # the others have shown all their candidates
         pairs = written(found.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        new = written(verified(pairs, points), "links")
-        fresh = new.limit(1).count() > 0
-        links, checked = links.unionByName(new), checked.unionByName(pairs)
+        new = written(verified(pairs, classes, docs, id_column), "links")
+        if new.limit(1).count():  # what was linked before is a star by now
+            roots = written(components(roots.where("id <> root").toDF("a", "b").unionByName(new)), "roots")
         if not again.limit(1).count():
-            break
-        most, left = most * 8, left.join(again, "key", "left_semi")
-    return written(components(links), "roots").toDF("cid", "root") if fresh else roots.toDF("cid", "root")
+            return roots.toDF("cid", "root")
+        checked = checked.unionByName(pairs)
+        most, left = most * 64, left.join(again, "key", "left_semi")
+
+
+def row_classes(docs: DataFrame, id_column: str) -> DataFrame:
+    """(id, digest, n, cid, root, first) for each row: a digest of the text, set size, class, and its component's name
+    and least id. Rows with empty sets have neither class nor component."""
+    rows = written(sets_table(docs, id_column), "sets")
+    classes = written(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("first")), "classes")
+    shared = written(keyed(docs, frequent_table(rows.where("often IS NOT NULL"))), "shared")
+    wanted = written(classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("first").distinct(), "wanted")
+    points = written(points_table(docs, wanted, id_column), "points")
+    roots = class_links(shared, points, classes, docs, id_column)
+    named = written(classes.join(roots, "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    joined = named.select("cid", "root").join(least, "root").select("cid", "root", "first")
+    return rows.drop("often").join(joined, "cid", "left").select("id", "digest", "n", "cid", "root", "first")
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -409,16 +466,29 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     Null and empty texts, and texts of white space, have empty sets and link with nothing; a text of fewer than five
     words is one shingle. Rows that repeat an id give a row each. Other columns are left out.
     """
-    rows = written(sets_table(docs, id_column), "sets")
-    classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("first"))
-    shared = written(keyed(docs, frequent_table(rows.where("often IS NOT NULL"))), "shared")
-    wanted = written(classes.join(shared.select("cid").distinct(), "cid", "left_semi").select(F.col("first").alias("id")), "wanted")
-    points = written(points_table(docs, wanted, id_column), "points")
-    roots = class_links(shared, points)
-    named = written(classes.join(roots, "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = named.join(least, "root").select("cid", "component_id")
-    return rows.join(joined, "cid", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    found = row_classes(docs, id_column)
+    return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component of links, all columns: that of the least id (nulls last), of its texts the
+    one of the least digest, of rows alike in both the least by the other columns' hash. Rows are told apart by id and
+    text, so that an id which rows repeat loses no other text. Rows with empty sets are copies of nothing and all stay."""
+    found = written(row_classes(docs, id_column).where("root IS NOT NULL").groupBy("root", "id", "digest").agg(F.count("*").alias("many")), "rows")
+    # by component, the least row; an aggregation, as a component may have a third of all rows
+    row = lambda d: F.struct(d["id"].isNull().alias("none"), d["id"].alias("id"), d["digest"].alias("digest"))
+    least = written(found.groupBy("root").agg(F.min(row(found)).alias("r")).select("root", "r.id", "r.digest"), "least")
+    kept = found.alias("f").join(least.alias("l"), F.expr("f.root = l.root AND f.id <=> l.id AND f.digest = l.digest"), "left")
+    gone = written(kept.where("l.root IS NULL").select(F.col("f.id").alias("_gone_id"), F.col("f.digest").alias("_gone_digest")), "gone")
+    twice = written(kept.where("l.root IS NOT NULL AND f.many > 1").select(F.col("f.id").alias("_twice_id"), F.col("f.digest").alias("_twice_digest")), "twice")
+    digest = F.xxhash64(text_of())
+    here = lambda name: (F.col(id_column).eqNullSafe(F.col(f"_{name}_id"))) & (digest == F.col(f"_{name}_digest"))
+    left = docs.join(small(gone), here("gone"), "left_anti")
+    if not twice.limit(1).count():
+        return left
+    twice = small(twice)
+    alike = left.join(twice, here("twice")).groupBy("_twice_id", "_twice_digest").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return left.join(twice, here("twice"), "left_anti").unionByName(alike.select("_row.*"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
