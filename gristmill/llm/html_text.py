@@ -1,9 +1,11 @@
 """HTML extraction by wrappers: union-free regular expressions inferred per host.
 
-A page becomes a tree of tokens (tags and text). Its regular expression folds neighbours of one tag into a repeated
-group; two expressions are aligned child by child, what only one has becomes optional, unequal texts become slots. This
-is done page by page within a task and then host by host over the tasks' few partial wrappers, so that no task holds a
-host's pages. The wrapper tells which region of the host's template has the main text; pages are then cut by it.
+A page becomes a tree of tokens (tags and text). Its regular expression folds runs of one to four tags that repeat into
+a repeated group; two expressions are aligned child by child, what only one has becomes optional or part of a repetition,
+unequal texts become slots. This is done page by page within a task and then over the tasks' partial wrappers, a bounded
+number at a time, so that no task holds a host's pages. What is the same on a host's pages is its template, and what fills
+the slots its content: the wrapper tells by the slots' letters which region has the main text, and which texts in it are
+the template's. Pages are then cut by it.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import by_batch, written
+from gristmill.llm.common import by_batch, map_batches, written
 from gristmill.llm.url_filter import host_and_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
@@ -31,15 +35,26 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style noscript template iframe object svg math textarea title xmp noembed noframes".split())
 #: Regions that aren't the article, wherever they stand.
 OUTSIDE = frozenset("nav aside footer form button select option dialog menu head".split()) | RAW
-#: Words in class, id or role that say the same.
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|aside|footer|ads?|adverts?|advertisements?|advertorial|sponsor(?:ed)?|promo(?:tion)?s?|banner|"
+#: Words that say the same, as a whole token of class or role, or the id of a div: alone, after what they
+#: belong to, or before what holds them. So ``ad-slot`` is one, ``no-sidebar`` and ``search-result`` are none.
+OUTSIDE_WORDS = (
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|aside|footer|ads?|adverts?|advertisements?|advertorial|sponsor(?:ed)?|promo(?:tion)?s?|banner|"
     r"cookies?|consent|gdpr|notices?|alerts?|popup|pop-up|modal|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|related|recommended|recommendations|"
-    r"comments?|commentlist|disqus|respond|replies|reply|widgets?|pagination|pager|toolbar|toc|search|skip|masthead|site-header|page-header|topbar|copyright|complementary|contentinfo|dialog|alertdialog)(?=$|[\s_-])",
+    r"comments?|commentlist|disqus|respond|replies|reply|widgets?|pagination|pager|toolbar|toc|search|skip|masthead|site-header|page-header|topbar|copyright|complementary|contentinfo|dialog|alertdialog"
+)
+OUTSIDE_NAME = re.compile(
+    rf"(?:(?:site|page|post|article|entry|main|top|bottom|left|right|social|global|primary|secondary|header|mobile|sticky|cookie|user|reader|blog|home)[_-])?(?:{OUTSIDE_WORDS})"
+    r"(?:[_-](?:box|bar|area|list|links?|posts?|articles?|buttons?|icons?|container|wrapper|wrap|block|unit|slot|inner|section|\d+))*",
     re.I,
 )
 MAIN = ("article", "main")
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|articlebody|post(?:-?(?:body|content))?|entry(?:-content)?|content|story|main|main-content|body-content|text)(?=$|[\s_-])", re.I)
+#: Elements that hold text, not regions.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote tr dt dd".split())
+#: Elements of a repeated run at most; partial wrappers that are aligned at a time; children of a wrapper's element from
+#: which optional ones of a tag are one; pages from which a text that all have alike is the template's.
+LONGEST, MERGED, MOST_KIDS, FIXED_PAGES = 4, 256, 64, 3
+GAP = "\x1f"
 #: An open element that these end: fixed by the HTML standard's rules on omitted end tags.
 ENDS = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()),
@@ -52,13 +67,10 @@ SPACE = re.compile(r"\s+")
 #: The tree keeps elements nested deeper than this as marks only: their text is their ancestor's, in order. Those outside
 #: the article and article elements keep their own, DEEPER levels more; end tags are matched at any depth.
 DEEPEST, DEEPER = 150, 20
-#: Names in the article itself are whole class or role tokens, or a div's whole id.
-INNER_NAMES = re.compile(
-    rf"(?:(?:site|page|post|article|entry|main|top|bottom|left|right|social)[_-])?(?:{OUTSIDE_NAMES.pattern.removeprefix(r'(?:^|[\s_-])(?:').removesuffix(r')(?=$|[\s_-])')})"
-    r"(?:[_-](?:box|bar|list|links?|posts?|articles?|buttons?|icons?|container|wrapper|wrap|block|unit|slot|inner|\d+))*",
-    re.I,
-)
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose names don't tell.
+NEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+HIDDEN_MARK, OUTSIDE_MARK = "\0", "\3"
+NUMBERS = re.compile(r"\d+")
 
 
 class Node:
@@ -74,17 +86,11 @@ class Node:
         return f"{self.tag}.{self.names}" if self.names else self.tag
 
     @property
-    def outside(self) -> bool:
-        if self.tag in OUTSIDE or "\0" in self.names:
-            return True
-        return bool(self.names) and self.tag not in ("html", "body", *MAIN) and bool(OUTSIDE_NAMES.search(self.names))
-
-    @property
-    def outside_within(self) -> bool:
-        """As ``outside``, within an article: neither headings nor anchors' ids nor parts of a name tell."""
-        if self.tag in OUTSIDE or "\0" in self.names:
-            return True
-        return self.tag not in HEADINGS and self.tag not in MAIN and any(map(INNER_NAMES.fullmatch, self.tokens))
+    def outside(self) -> str:
+        """"tag" or "name", by what the element says that it isn't of the article, or empty. Headings' names don't tell."""
+        if self.tag in OUTSIDE or HIDDEN_MARK in self.names:
+            return "tag"
+        return "name" if self.tokens and self.tag not in NEVER and any(map(OUTSIDE_NAME.fullmatch, self.tokens)) else ""
 
 
 def parse(page: str) -> Node:
@@ -94,6 +100,8 @@ def parse(page: str) -> Node:
 
     def close(k: int) -> None:
         opened.subtract(n.tag for n in stack[k:])
+        if stack[k].children is stack[k - 1].children:
+            stack[k].children.append(Node("hr"))
         del stack[k:], levels[k:]
 
     def text(part: str) -> None:
@@ -141,16 +149,18 @@ def parse(page: str) -> Node:
                 break
             if stack[k].tag in SCOPE:
                 break
-        names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)).strip() if rest else ""
-        if rest and HIDDEN.search(rest):
-            names += "\0"
+        names = NUMBERS.sub("0", " ".join(a or b or c for a, b, c in NAMES.findall(rest)).strip()) if rest else ""
         tokens = [t for name, a, b, c in TOKENS.findall(rest) if name.lower() != "id" or tag == "div" for t in (a or b or c).split()] if names else []
         node = Node(tag, names, tuple(tokens))
+        if rest and HIDDEN.search(rest):
+            node.names += HIDDEN_MARK
+        if node.outside == "name":
+            node.names += OUTSIDE_MARK
         stack[-1].children.append(node)
         if tag != "hr" and not rest.endswith("/"):
             level = levels[-1] + 1
             if level >= DEEPEST and not (level < DEEPEST + DEEPER and (node.outside or tag in MAIN)):
-                node, level = Node(tag, names), levels[-1]  # what it holds is its ancestor's
+                node, level = Node(tag, names), levels[-1]  # what it holds is its ancestor's, but blocks stay apart
                 node.children = stack[-1].children
             stack.append(node)
             levels.append(level)
@@ -165,174 +175,311 @@ def clean(text: str) -> str:
     return SPACE.sub(" ", html.unescape(text.replace("\1", "").replace("\2", ""))).strip()
 
 
-# An expression is [key, flags, children, text, letters, link letters]: flags has "?" for optional and "+" for repeated;
-# text is a text leaf's constant, or None for a slot; letters are sums over the pages.
+# An expression is [key, flags, children, text, letters, link letters, pages]: flags has "?" for optional and "+" for
+# repeated; text is a digest of all text below, where it is the same on all pages, or None for a slot; letters are sums
+# over the pages; pages tells how many have it. The key of a group of several elements is "(" and theirs; it has no tag.
+
+
+def digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def expression(node: Node) -> list:
-    """The page's expression of a node: children in order, neighbours of one key folded into a repeated group."""
+    """The page's expression of a node: children in order, runs that repeat folded into groups."""
     kids: list[list] = []
     for child in node.children:
         if isinstance(child, str):
             text = clean(child)
-            if not text:
-                continue
-            linked = sum(len(part.partition("\2")[0]) for part in child.split("\1")[1:])
-            new = ["#", "", [], text if len(text) <= 200 else None, len(text), linked]
+            if text:
+                linked = sum(len(part.partition("\2")[0]) for part in child.split("\1")[1:])
+                kids.append(["#", "", [], digest(text), len(text), linked, 1])
         else:
-            new = expression(child)
-        if kids and kids[-1][0] == new[0]:
-            kids[-1] = align(kids[-1], new)
-            kids[-1][1] = "+" if "?" not in kids[-1][1] else "?+"
+            kids.append(expression(child))
+    whole = digest(" ".join(k[3] for k in kids)) if kids else ""
+    return [node.key, "", folded(kids), whole, sum(k[4] for k in kids), sum(k[5] for k in kids), 1]
+
+
+def repeats(keys: list[str], at: int) -> tuple[int, int]:
+    """(period, times) of the run from ``at`` that repeats over the most elements, of periods up to ``LONGEST``."""
+    best = (1, 1)
+    for period in range(1, LONGEST + 1):
+        first, to = keys[at : at + period], at + period
+        while keys[to : to + period] == first:
+            to += period
+        if to - at > max(period, best[0] * best[1]):
+            best = (period, (to - at) // period)
+    return best
+
+
+def folded(kids: list[list]) -> list[list]:
+    """The children of one page with runs that repeat as one repeated element or group each."""
+    keys, out, at = [k[0] for k in kids], [], 0
+    while at < len(kids):
+        period, times = repeats(keys, at)
+        if times == 1:
+            out.append(kids[at])
+            at += 1
+            continue
+        rounds = [kids[k] if period == 1 else group(kids[k : k + period]) for k in range(at, at + period * times, period)]
+        whole = digest(" ".join(r[3] for r in rounds))
+        while len(rounds) > 1:  # halves: each element is aligned a few times only
+            rounds = [align(*rounds[k : k + 2], within=True) if k + 1 < len(rounds) else rounds[k] for k in range(0, len(rounds), 2)]
+        rounds[0][1], rounds[0][3] = ("?" if "?" in rounds[0][1] else "") + "+", whole
+        out.append(rounds[0])
+        at += period * times
+    return out
+
+
+def group(kids: list[list]) -> list:
+    return ["(" + GAP.join(k[0] for k in kids) + ")", "", kids, digest(" ".join(k[3] or "" for k in kids)), sum(k[4] for k in kids), sum(k[5] for k in kids), max(k[6] for k in kids)]
+
+
+def regrouped(kids: list[list], wanted: set[str]) -> list[list]:
+    """Children with runs that are a group elsewhere as that group, taken once."""
+    out, at = [], 0
+    by_size = sorted(((w[1:-1].split(GAP), w) for w in wanted), key=lambda w: -len(w[0]))
+    while at < len(kids):
+        for keys, _ in by_size:
+            if [k[0] for k in kids[at : at + len(keys)]] == keys:
+                out.append(group(kids[at : at + len(keys)]))
+                at += len(keys)
+                break
         else:
-            kids.append(new)
-    return [node.key, "", kids, None, sum(k[4] for k in kids), sum(k[5] for k in kids)]
+            out.append(kids[at])
+            at += 1
+    return out
 
 
-def align(a: list, b: list) -> list:
-    """The union-free expression of two expressions of one key: unmatched children become optional, unequal texts slots."""
+def optional(e: list) -> list:
+    return e if "?" in e[1] else [e[0], "?" + e[1], *e[2:]]
+
+
+def align(a: list, b: list, within: bool = False) -> list:
+    """The union-free expression of two expressions of one key: unmatched children become optional, unequal texts slots.
+    ``within`` one page, both are rounds of a repetition."""
     flags = ("?" if "?" in a[1] + b[1] else "") + ("+" if "+" in a[1] + b[1] else "")
-    kids: list[list] = []
-    x, y = a[2], b[2]
-    optional = lambda k: [k[0], k[1] if "?" in k[1] else "?" + k[1], *k[2:]]
+    x, y, kids = a[2], b[2], []
+    if [k[0] for k in x] != [k[0] for k in y]:
+        groups = [{k[0] for k in e if k[0][0] == "("} for e in (x, y)]
+        x, y = regrouped(x, groups[1] - groups[0]) if groups[1] else x, regrouped(y, groups[0] - groups[1]) if groups[0] else y
     if [k[0] for k in x] == [k[0] for k in y]:
-        kids = [align(p, q) for p, q in zip(x, y, strict=True)]
+        kids = [align(p, q, within) for p, q in zip(x, y, strict=True)]
     else:
         i = j = 0
-        for p, q, n in SequenceMatcher(None, [k[0] for k in x], [k[0] for k in y], autojunk=False).get_matching_blocks():
+        for p, q, n in SequenceMatcher(None, [k[0] for k in x], [k[0] for k in y]).get_matching_blocks():
             kids += map(optional, x[i:p])
             kids += map(optional, y[j:q])
-            kids += [align(x[p + k], y[q + k]) for k in range(n)]
+            kids += [align(x[p + k], y[q + k], within) for k in range(n)]
             i, j = p + n, q + n
-    folded: list[list] = []
+    new: list[list] = []
     for k in kids:  # an optional beside its like is a repetition
-        if folded and folded[-1][0] == k[0]:
-            folded[-1] = align(folded[-1], k)
-            folded[-1][1] = ("?" if "?" in folded[-1][1] else "") + "+"
+        if new and new[-1][0] == k[0]:
+            new[-1] = align(new[-1], k, within)
+            new[-1][1] = ("?" if "?" in new[-1][1] else "") + "+"
         else:
-            folded.append(k)
-    return [a[0], flags, folded, a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5]]
+            new.append(k)
+    return [a[0], flags, bounded(new), a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], max(a[6], b[6]) if within else a[6] + b[6]]
+
+
+def bounded(kids: list[list]) -> list[list]:
+    """Children with the optional ones of one tag, or of one group, as one repetition where they are many, so that pages
+    unlike all others don't let a wrapper grow."""
+    if len(kids) <= MOST_KIDS:
+        return kids
+    out: list[list] = []
+    place: dict[str, int] = {}
+    for k in kids:
+        if "?" not in k[1] or k[0][0] == "(":
+            out.append(k)
+            continue
+        name = k[0].partition(".")[0]
+        mark = "".join(m for m in (HIDDEN_MARK, OUTSIDE_MARK) if m in k[0])
+        name = f"{name}.*{mark}" if "." in k[0] else name
+        like = [name, k[1], *k[2:]]
+        if name in place:
+            out[place[name]] = align(out[place[name]], like)
+            out[place[name]][1] = "?+"
+        else:
+            place[name] = len(out)
+            out.append(like)
+    return out
 
 
-def main_region(wrapper: list) -> list[str]:
-    """The path of keys to the wrapper's main text.
+def left_out(key: str, names: bool = True) -> bool:
+    """Whether an element of this key isn't of the article; where ``names`` is false, its class, id and role don't tell."""
+    return key.partition(".")[0] in OUTSIDE or HIDDEN_MARK in key or names and OUTSIDE_MARK in key
 
-    A region that says it is the article is taken first, the largest if several; else, from the top, the child that has
-    two thirds of the letters outside links, while there is one. Regions outside the article don't count.
-    """
-    found: list[tuple[int, list[str]]] = []
 
-    def weight(e: list) -> int:
-        if is_outside(e[0]):
-            return 0
-        own = max(0, e[4] - 2 * e[5]) if e[0] == "#" and (e[3] is None or e[4] > 200) else 0
-        return own + sum(map(weight, e[2]))
+def weight(e: list, names: bool, constants: bool) -> int:
+    """Letters outside links below ``e`` and outside regions that aren't the article's; ``constants``: those of the template too."""
+    if left_out(e[0], names) or not constants and e[3] is not None and e[6] > 1:
+        return 0
+    return max(0, e[4] - 2 * e[5]) if e[0] == "#" else sum(weight(k, names, constants) for k in e[2])
+
+
+def main_region(wrapper: list) -> dict:
+    """Where the wrapper's main text is: ``path``, keys from the top; ``names``, whether classes and ids tell what is
+    outside; ``fixed``, (path below, digest) of the template's own texts there.
+
+    The slots' letters weigh, or all letters where no text differs, as on one page. A single region that says it is the
+    article, or the main one, is taken where it has a tenth of the weight at least; else, from the top, the child that
+    has two thirds of it, while there is one, with names that say so before others. Names don't tell where they would
+    leave out nine tenths of the letters. Fixed texts are those outside a region that says what it is.
+    """
+    some = lambda names, constants: weight(wrapper, names, constants)
+    names = 10 * some(True, True) >= some(False, True)
+    constants = not some(names, False)
+    heavy = lambda e: weight(e, names, constants)
+    total, found = heavy(wrapper), []
 
-    def look(e: list, path: list[str]) -> None:
+    def look(e: list, path: list[str], repeated: bool) -> None:
         for k in e[2]:
-            if is_outside(k[0]):
+            if left_out(k[0], names) or k[0] == "#":
                 continue
-            tag, _, names = k[0].partition(".")
-            if tag in MAIN or tag in ("div", "section", "td") and names and MAIN_NAMES.search(names):
-                found.append(((tag == "article") * 2 + (tag == "main"), [*path, k[0]], k))
-            look(k, [*path, k[0]])
-
-    look(wrapper, [])
-    for best in (2, 1, 0):  # by kind: article, main, names
-        some = [(weight(k), p) for kind, p, k in found if kind == best and k[4]]
-        if some:
-            return max(some, key=lambda s: s[0])[1]
+            again, below = repeated or "+" in k[1], path if k[0][0] == "(" else [*path, k[0]]
+            tag, _, said = k[0].partition(".")
+            if tag in MAIN or tag in ("div", "section", "td") and said and MAIN_NAMES.search(said):
+                found.append(((tag == "article") * 2 + (tag == "main"), again, below, k))
+            look(k, below, again)
+
+    look(wrapper, [], False)
+    for kind, share in ((2, 10), (1, 10), (0, 2)):  # article, main, names
+        own = [(heavy(k), path, k) for known, again, path, k in found if known == kind and k[4] and (not again or kind)]
+        if own:
+            most, path, e = max(own, key=lambda o: o[0])
+            if share * most >= total:
+                return {"path": path, "names": names, "fixed": [] if kind else fixed(e, constants)}
     path, here = [], wrapper
     while True:
-        kids = [k for k in here[2] if k[0] != "#" and not is_outside(k[0])]
-        top = max(kids, key=weight, default=None)
-        if top is None or top[0].partition(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "tr") or 3 * weight(top) < 2 * weight(here) or not weight(top) or "+" in top[1]:
-            return path
-        path, here = [*path, top[0]], top
+        kids = [k for k in here[2] if k[0] != "#" and not left_out(k[0], names)]
+        top = max(kids, key=heavy, default=None)
+        if top is None or top[0].partition(".")[0] in TEXT_TAGS or 3 * heavy(top) < 2 * heavy(here) or not heavy(top) or "+" in top[1]:
+            return {"path": path, "names": names, "fixed": fixed(here, constants)}
+        path, here = path if top[0][0] == "(" else [*path, top[0]], top
 
 
-def is_outside(key: str) -> bool:
-    tag, _, names = key.partition(".")
-    return Node(tag, names).outside
+def fixed(e: list, constants: bool) -> list[list[str]]:
+    """(path, digest) of the texts below ``e`` that all its pages have alike, three at least."""
+    out: list[list[str]] = []
 
+    def walk(e: list, path: str) -> None:
+        for k in e[2]:
+            if k[0] == "#" and k[3] is not None and k[6] >= max(FIXED_PAGES, pages):
+                out.append([path, k[3]])
+            elif k[0] != "#":
+                walk(k, path if k[0][0] == "(" else f"{path}{GAP}{k[0]}")
+
+    pages = e[6]
+    if not constants and pages >= FIXED_PAGES:
+        walk(e, "")
+    return out
 
-def blocks(node: Node, within: bool = False) -> Iterator[str]:
-    """The blocks' texts under a node in page order, without regions outside the article; ``within`` it, names count less. A header holding the
-    article's headings stays; one beside the article has been left out with the region."""
+
+def blocks(node: Node, names: bool, known: set[tuple[str, str]] = frozenset(), path: str = "") -> Iterator[str]:
+    """The blocks' texts under a node in page order, without regions outside the article and without ``known`` texts. A
+    header holding the article's headings stays; one beside the article has been left out with the region."""
     for child in node.children:
         if isinstance(child, str):
-            if text := clean(child):
+            if (text := clean(child)) and not (known and (path, digest(text)) in known):
                 yield text
-        elif not (child.outside_within if within else child.outside):
-            yield from blocks(child, within or child.tag in MAIN)
+        elif not left_out(child.key, names):
+            yield from blocks(child, names, known, f"{path}{GAP}{child.key}" if known else "")
 
 
-def regions(node: Node, path: list[str], exact: bool = True) -> Iterator[Node]:
+def regions(node: Node, path: list[str], names: bool, exact: bool = True) -> Iterator[Node]:
     """The nodes at a path of keys below ``node``, skipping levels that the path doesn't name where ``exact`` is false."""
     if not path:
         yield node
         return
     for child in node.children:
-        if isinstance(child, Node) and not child.outside:
+        if isinstance(child, Node) and not left_out(child.key, names):
             if child.key == path[0]:
-                yield from regions(child, path[1:], exact)
+                yield from regions(child, path[1:], names, exact)
             elif not exact:
-                yield from regions(child, path, exact)
+                yield from regions(child, path, names, exact)
 
 
-def extract(page: str, path: list[str]) -> str:
-    """The page's main text under its host's wrapper; a page that lacks the region is its own wrapper."""
+def extract(page: str, region: dict | None) -> str:
+    """The page's main text under its host's wrapper; a page that lacks the region, or has no text there, is its own."""
     root = parse(page)
-    found = list(regions(root, path)) or list(regions(root, path[-1:], exact=False))
-    if not path or not found:
-        found = list(regions(root, main_region(expression(root))))
-    top_header = lambda n: n.tag == "header" and len(found) == 1 and found[0].tag in ("#root", "html", "body")
-    for node in found:
-        node.children = [c for c in node.children if isinstance(c, str) or not top_header(c)]
-    return "\n".join(b for n in found for b in blocks(n, n.tag not in ("#root", "html", "body")))
+    for own in (region, None):
+        own = own or main_region(expression(root))
+        path, names, known = own["path"], own["names"], {(a, b) for a, b in own["fixed"]}
+        found = list(regions(root, path, names)) or (list(regions(root, path[-1:], names, exact=False)) if path else [])
+        top = len(found) == 1 and found[0].tag in ("#root", "html", "body")
+        if top:  # a header beside the text isn't the article's
+            drop_headers(found[0])
+        text = "\n".join(b for n in found for b in blocks(n, names, known))
+        if text:
+            return text
+    return ""
+
+
+def drop_headers(node: Node) -> None:
+    node.children = [c for c in node.children if isinstance(c, str) or c.tag != "header"]
+    for c in node.children:
+        if not isinstance(c, str) and c.tag in ("html", "body"):
+            drop_headers(c)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, html) to a row for each host: host, wrapper (JSON), region (JSON path of keys).
+    """``pages`` (host, html) to a row for each host: host, region (JSON of where the main text is).
 
-    Two levels: each task aligns its own pages' expressions host by host and gives a partial wrapper for each; these,
-    one for each host and task at most, are aligned in the order of their text.
+    Each task aligns its own pages' expressions host by host and gives a partial wrapper for each. These are aligned
+    ``MERGED`` of a host at a time, in levels, until a host has no more than that, and these once more: a host with a
+    third of all pages is many tasks' work, and each holds few wrappers of bounded width.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(e) for e in known.values()])], names=["host", "wrapper"])
+        known, task, n = {}, TaskContext.get().partitionId(), 0
+
+        def give() -> pa.RecordBatch:
+            nonlocal n
+            n += 1
+            ids = pa.array([task << 32 | n] * len(known), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(list(known)), ids, pa.array([json.dumps(e) for e in known.values()])], names=["host", "part", "wrapper"])
+
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 new = expression(parse(page.as_py()))
                 known[host] = align(known[host], new) if host in known else new
-            if len(known) >= 2000:
-                yield give()
-                known = {}
+                if len(known) >= 2000:
+                    yield give()
+                    known.clear()
         if known:
             yield give()
 
+    def joined(table: pa.Table) -> list:
+        wrappers = [json.loads(w) for w in sorted(table.column("wrapper").to_pylist())]
+        first = wrappers[0]
+        for other in wrappers[1:]:
+            first = align(first, other)
+        return first
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.table({"host": table.column("host").slice(0, 1), "part": table.column("part").slice(0, 1), "wrapper": [json.dumps(joined(table))]})
+
     def whole(table: pa.Table) -> pa.Table:
-        found = [json.loads(w) for w in sorted(table.column("wrapper").to_pylist())]
-        wrapper = found[0]
-        for other in found[1:]:
-            wrapper = align(wrapper, other)
-        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [json.dumps(wrapper)], "region": [json.dumps(main_region(wrapper))]})
+        return pa.table({"host": table.column("host").slice(0, 1), "region": [json.dumps(main_region(joined(table)))]})
 
-    parts = pages.where("host IS NOT NULL AND html <> ''").mapInArrow(partial, "host string, wrapper string")
-    return parts.groupBy("host").applyInArrow(whole, "host string, wrapper string, region string")
+    parts = written(map_batches(pages.where("host IS NOT NULL AND html <> ''"), partial, "host string, part long, wrapper string"), "partial_wrappers")
+    while (most := parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > MERGED:
+        salted = parts.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(-(-most // MERGED))))
+        parts = written(salted.groupBy("host", "salt").applyInArrow(lambda t: merged(t.drop_columns("salt")), "host string, part long, wrapper string"), "partial_wrappers")
+    return parts.groupBy("host").applyInArrow(whole, "host string, region string")
 
 
 def extract_pages(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
     """Per row: id, url, text, n_chars (code points). Null or empty html gives an empty text, a null url is a host of
-    its own (the empty one); repeated rows give a row each; other columns are left out; an empty table, an empty result."""
+    its own (the empty one); repeated rows give a row each; other columns are left out; an empty table, an empty result.
+    Pages of any length are read whole; elements nested deeper than ``DEEPEST`` keep text and blocks."""
     kinds = dict(pages.dtypes)
     host, _ = host_and_path(F.col("url").cast("string"))
     rows = pages.select(id_column, "url", host.alias("_host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("_html"))
-    found = written(wrappers(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html"))).select("host", "region"), "wrappers")
+    found = written(wrappers(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html"))), "wrappers")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [extract(h.as_py(), json.loads(r.as_py() or "[]")) if h.as_py() else "" for h, r in zip(batch.column(2), batch.column(3), strict=True)]
+        texts = [extract(h.as_py(), json.loads(r.as_py() or "null")) if h.as_py() else "" for h, r in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_column, "url", "text", "n_chars"])
 
     both = rows.join(found, F.col("_host") == F.col("host"), "left").select(id_column, "url", "_html", "region")
