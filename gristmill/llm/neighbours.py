@@ -1,10 +1,14 @@
 """Approximate nearest neighbours: multiprobe p-stable hashing with exact reranking.
 
-A table hashes a vector by floor((a . x + b) / w) for a few Gaussian directions a. A query visits its bucket and
-perturbed ones in the order of their estimated success, which is that a neighbour at the sample's radius falls there,
-until the visited buckets' estimate meets the target. Index rows and probes meet by (table, bucket, part): a bucket is
-dealt into parts of a bounded number of rows, so that a hot bucket is many tasks' work. Each part gives a query its best
-candidates, which are merged and have exact scores. Equal vectors are indexed once, with the least ids they need.
+A table hashes a vector by floor((a . x + b) / w) for a few Gaussian directions a; cells are joined at both ends, so that
+wide ones leave two a direction. A query visits its bucket and perturbed ones in the order of their estimated success:
+the chance that a neighbour at the sample's nearness falls there. How many functions and tables there are, and which
+success ends a query's probes, is what compares the fewest rows on a sample at the recall asked for.
+
+Buckets are dealt into groups of neighbouring numbers, groups with many rows into parts, and those with many queries into
+slices, so that a hot bucket is many tasks' work. A task compares a bucket's rows with the queries that visit it alone,
+and gives each query its best, which are merged over tables and groups and have exact scores. Queries that find fewer
+than they ask for visit all buckets. Equal vectors are indexed once, with the least ids they need.
 """
 
 from __future__ import annotations
@@ -20,52 +24,71 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import by_batch, written
 
-#: Rows of a part of a bucket, and rows and queries that the fit samples at most.
-PART_ROWS = 16_384
-SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 200
+#: Rows of a part and queries of a slice of a group of buckets, about; rows and queries that the fit samples at most.
+PART_ROWS, SLICE_QUERIES = 16_384, 32_768
+SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 128
+#: Functions and tables that the fit tries, and rows of a bucket from which more functions are tried.
+FUNCTIONS, TABLES, BUCKET_ROWS = (2, 4, 6, 8, 10, 12, 14), (1, 2, 4), 16
+#: What a probe costs, and a row that is shipped and sorted for one more table, in comparisons; pairs that a task holds
+#: before it keeps the best.
+PROBE_COST, COPY_COST, HELD_PAIRS = 4, 250, 1_000_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """directions (tables, functions, dim + 1), offsets (tables, functions), width w, cells kept on each side, the
-    greatest norm, a neighbour's radius, and the success that each table's probes have to reach."""
+    """directions (tables, functions, dim + 1), offsets (tables, functions), width w, cells kept on each side of 0, the
+    greatest norm, a neighbour's nearness (the cosine of lifted vectors), the success that each table's probes have to
+    reach, and the sample's share of rows compared over all tables."""
 
     directions: np.ndarray
     offsets: np.ndarray
     width: float
     reach: int
     norm: float
-    radius: float
+    nearness: float
     target: float
+    share: float = 1.0
+
+    @property
+    def buckets(self) -> int:
+        return (2 * self.reach) ** self.directions.shape[1]
 
     def lifted(self, vectors: np.ndarray, query: bool) -> np.ndarray:
-        """With one coordinate more, so that the nearest are those of the largest inner product."""
-        vectors = vectors / self.norm
-        norms = np.sqrt((vectors * vectors).sum(1))
+        """With one coordinate more, so that the nearest are those of the largest inner product. All have norm 1."""
         if query:
+            norms = np.sqrt((vectors * vectors).sum(1))
             return np.concatenate((vectors / norms[:, None], np.zeros((len(vectors), 1))), 1)
-        return np.concatenate((vectors, np.sqrt(np.maximum(0, 1 - norms * norms))[:, None]), 1)
-
-    def places(self, points: np.ndarray, table: int) -> np.ndarray:
-        return (points @ self.directions[table].T + self.offsets[table]) / self.width
-
-    def bucket(self, cells: np.ndarray) -> np.ndarray:
-        """A number for the cells of each row; the outermost ones hold all beyond them."""
-        cells = np.clip(cells, -self.reach, self.reach) + self.reach
-        return cells @ (2 * self.reach + 1) ** np.arange(cells.shape[1])
-
-    def probes(self, place: np.ndarray) -> np.ndarray:
-        """Buckets for one query in the order of their estimated success, until the target is met."""
-        edges = np.arange(-self.reach, self.reach + 2, dtype=float)
-        edges[0], edges[-1] = -np.inf, np.inf
-        z = (edges[None, :] - place[:, None]) * self.width / self.radius
-        below = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))(z)
+        vectors = vectors / self.norm
+        return np.concatenate((vectors, np.sqrt(np.maximum(0, 1 - (vectors * vectors).sum(1)))[:, None]), 1)
+
+    def bucket(self, points: np.ndarray, table: int) -> np.ndarray:
+        """The number of each row's bucket; the outermost cells hold all beyond them."""
+        cells = np.floor((points @ self.directions[table].T + self.offsets[table]) / self.width).astype(np.int64)
+        cells = np.clip(cells, -self.reach, self.reach - 1) + self.reach
+        return cells @ (2 * self.reach) ** np.arange(cells.shape[1])
+
+    def successes(self, point: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """All buckets in the order of their estimated success for a lifted query, and the sums of success so far.
+
+        A neighbour is nearness times the query plus an orthogonal part of any direction, so that its place along a
+        function's direction is about normal around nearness times the query's place."""
+        edges = np.arange(-self.reach, self.reach + 1) * self.width
+        place = self.directions[table] @ point
+        across = np.sqrt(np.maximum((self.directions[table] ** 2).sum(1) - place**2, 1e-12) / max(1, len(point) - 1))
+        spread = math.sqrt(2 * max(1 - self.nearness**2, 1e-12)) * across
+        z = (edges[None, 1:-1] - self.offsets[table][:, None] - self.nearness * place[:, None]) / spread[:, None]
+        below = np.array([[0.0, *(0.5 * math.erfc(-v) for v in row), 1.0] for row in z.tolist()])
         chance = np.diff(below, axis=1)  # (functions, cells)
         joint = chance[0]
         for row in chance[1:]:
             joint = (row[:, None] * joint[None, :]).ravel()  # later functions are the higher digits, as in bucket()
         order = np.argsort(-joint, kind="stable")
-        return order[: int(np.searchsorted(np.cumsum(joint[order]), self.target)) + 1]
+        return order, np.cumsum(joint[order])
+
+    def probes(self, point: np.ndarray, table: int) -> np.ndarray:
+        """The buckets that a lifted query visits, in order."""
+        order, sums = self.successes(point, table)
+        return order if self.target >= 1 else order[: int(np.searchsorted(sums, self.target)) + 1]
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -75,101 +98,134 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), v.alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0)).where(finite & F.exists("v", lambda x: x != 0))
 
 
-def fit(classes: DataFrame, k: int, tables: int = 2, recall: float = 0.98, seed: int = 7) -> Index | None:
-    """For vectors of one length. Directions by seed; width, norm and radius by a sample of SAMPLE_ROWS rows at most, by a hash of the id."""
+def vectors_of(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def fit(classes: DataFrame, k: int, asked: float, recall: float = 0.95, seed: int = 7) -> Index | None:
+    """For vectors of one length. Directions by seed; the rest by a sample of SAMPLE_ROWS rows at most, by a hash of the
+    id, of which SAMPLE_QUERIES are queries: the functions, tables and target with which the sample's queries find
+    ``recall`` of their nearest at the least cost in rows compared, probes, and rows shipped, where ``asked`` tells how many
+    queries there are. Where no choice is better than to compare all, all are compared."""
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, norm = classes.agg(F.count("*"), F.max(size)).first()
     if not n:
         return None
-    rows = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow().column("v").to_pylist()
-    sample = np.array(rows)
-    dim = sample.shape[1]
-    functions = max(2, round(math.log2(max(4, n / 2048)) / 2))
+    sample = vectors_of(classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks())
     rng = np.random.default_rng(seed)
-    directions = rng.standard_normal((tables, functions, dim + 1))
-    plain = Index(directions, np.zeros((tables, functions)), 1.0, 1, norm, 1.0, 1.0)
-    points, queries = plain.lifted(sample, False), plain.lifted(sample[:SAMPLE_QUERIES], True)
-    far = np.sqrt(np.maximum(0, np.sort(((queries * queries).sum(1)[:, None] + (points * points).sum(1)[None, :] - 2 * queries @ points.T), 1)))
-    rank = min(far.shape[1] - 1, max(1, round((k + 1) * len(sample) / n)))
-    radius = max(float(np.quantile(far[:, rank], 0.9)), 1e-3)
-    spread = float(np.mean([plain.places(points, t).std(0).mean() for t in range(tables)]))
-    width = max(2 * spread, radius / 4)
-    return Index(directions, rng.uniform(0, width, (tables, functions)), width, 2, norm, radius, 1 - (1 - recall) ** (1 / tables))
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", column: str = "embedding", tables: int = 2, recall: float = 0.98) -> DataFrame:
+    dim, most, width = sample.shape[1], FUNCTIONS[-1], 8.0
+    directions = rng.standard_normal((TABLES[-1], most, dim + 1))
+    offsets = rng.uniform(-0.1, 0.1, (TABLES[-1], most))
+    every = Index(directions[:1, :1], offsets[:1, :1], width, 1, norm, 0.0, 1.0)
+    points, queries = every.lifted(sample, False), every.lifted(sample[:SAMPLE_QUERIES], True)
+    cosines = queries @ points.T
+    cosines[np.arange(len(queries)), np.arange(len(queries))] = -2  # the query itself
+    near = max(1, round(k * len(sample) / n))  # as many of the sample as k of all
+    if len(sample) <= near:
+        return every
+    nearest = np.argpartition(-cosines, near - 1, axis=1)[:, :near]
+    nearness = float(np.clip(np.median(np.take_along_axis(cosines, nearest, 1).min(1)), 0, 0.999))
+    copies = COPY_COST * n / max(1.0, asked)  # a query's share of a table's rows
+    best, cost = every, n + copies
+    for functions in FUNCTIONS:
+        if n / 2**functions < BUCKET_ROWS:
+            break
+        plain = Index(directions[:, :functions], offsets[:, :functions], width, 1, norm, nearness, 1.0)
+        needed, counts = [], []  # the success at which a table's probes of a query have come to a row, and probes by success
+        for t in range(TABLES[-1]):
+            codes, rows = plain.bucket(points, t), np.empty((len(queries), len(points)), np.float32)
+            counts.append([])
+            for q, point in enumerate(queries):
+                order, sums = plain.successes(point, t)
+                before = np.empty(len(order), np.float32)
+                before[order] = sums - np.diff(sums, prepend=0)
+                rows[q] = before[codes]
+                counts[t].append(sums)
+            needed.append(rows)
+        for tables in TABLES:
+            first = np.minimum.reduce(needed[:tables])
+            target = float(np.quantile(np.take_along_axis(first, nearest, 1), recall)) + 1e-6
+            share = float(sum((rows < target).mean() for rows in needed[:tables]))
+            probes = sum(np.mean([np.searchsorted(sums, target) + 1 for sums in own]) for own in counts[:tables])
+            if (now := share * n + probes * PROBE_COST + tables * copies) < cost:
+                cost = now
+                best = Index(directions[:tables, :functions], offsets[:tables, :functions], width, 1, norm, nearness, min(target, 1.0), share)
+    return best
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", column: str = "embedding", recall: float = 0.95) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` to each row of ``queries`` (both with id and vector), by inner product:
-    query_id, rank from 1, the found id, score; the query's own id is no candidate, ties go to the smaller id.
+    query_id, rank from 1, the found id, score; the query's own id is no candidate, ties go to the smaller id. All
+    candidates, if they are fewer than ``k``. ``recall``: what the fit asks for, on its sample.
 
     Vectors that are null, zero, of another length than most of the distinct ones (of two such lengths, the greater), or
-    hold null or non-finite components take no part.
+    hold null or non-finite components take no part, nor do rows without an id.
     Rows that repeat an id and a vector count once. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)[id_column]
-    grouped = _classes(usable(vectors, id_column, column), k + 1)
-    classes = written(grouped, "vectors")
+    classes = written(_classes(usable(vectors, id_column, column), k + 1), "vectors")
     lengths = classes.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()  # a row a length
     dim = lengths["n"] if lengths else 0
     classes = classes.where(F.size("v") == dim)
-    index = fit(classes.withColumn("id", F.element_at("ids", 1)), k, tables, recall)
-    if index is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_column} {kind}, score double")
-    rows = classes.select(F.element_at("ids", 1).alias("class"), "v")
     asked = written(usable(queries, id_column, column).where(F.size("v") == dim).distinct(), "queries")
     texts = written(asked.groupBy("v").agg(F.min("id").alias("query")), "query_vectors")
+    index = fit(classes.withColumn("id", F.element_at("ids", 1)), k, texts.count(), recall)
+    if index is None:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_column} {kind}, score double")
+    ids, tables, n = kind, len(index.directions), lengths["count"]
+    group_size = max(1, index.buckets // 2 ** max(0, math.ceil(math.log2(n / PART_ROWS))))  # buckets
 
     def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        v = np.array(batch.column(1).to_pylist(), float)
-        points = index.lifted(v, False)
-        for t in range(tables):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(v), t, np.int32)), pa.array(index.bucket(np.floor(index.places(points, t)).astype(np.int64))), *batch.columns], names=["t", "bucket", "class", "v"]
-            )
-
-    def probed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        points = index.lifted(np.array(batch.column(1).to_pylist(), float), True)
-        for t in range(tables):
-            found = [index.probes(p) for p in index.places(points, t)]
-            who = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(who), t, np.int32)), pa.array(np.concatenate(found).astype(np.int64)), *(c.take(pa.array(who)) for c in batch.columns)], names=["t", "bucket", "query", "v"]
-            )
-
-    ids = dict(rows.dtypes)["class"]
-    placed = written(by_batch(rows, hashed, f"t int, bucket long, class {ids}, v array<double>"), "index")
-    parts = written(placed.groupBy("t", "bucket").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "buckets")  # a row a bucket
-    # a bucket's rows know its parts by the join; Spark broadcasts the buckets below its limit
-    index_rows = placed.join(parts, ["t", "bucket"]).select("t", "bucket", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), "class", "v")
-    probe_rows = (
-        by_batch(texts.select("query", "v"), probed, f"t int, bucket long, query {ids}, v array<double>")
-        .join(parts, ["t", "bucket"]).select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query", "v")
-    )
+        points = index.lifted(vectors_of(batch.column(1)), False)
+        codes = np.stack([index.bucket(points, t) for t in range(tables)], 1).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["class", "v", "codes"])
+
+    rows = classes.select(F.element_at("ids", 1).alias("class"), "v")
+    coded = written(by_batch(rows, hashed, f"class {ids}, v array<double>, codes array<int>"), "index")
+    places = coded.select("class", "v", F.posexplode("codes").alias("t", "code")).withColumn("g", F.floor(F.col("code") / group_size).cast("int"))
+    parts = written(places.groupBy("t", "g").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "groups")  # a row a group of buckets
+
+    def found_by(asking: DataFrame, every: bool) -> DataFrame:
+        """(query, class, score): the best k + 1 classes that rows (v, query) find in the buckets that they visit, or in ``every`` one."""
 
-    def rerank(index_part: pa.Table, probes: pa.Table) -> pa.Table:
-        out = pa.schema([("query", index_part.schema.field("class").type), ("found", pa.list_(pa.struct([("class", index_part.schema.field("class").type), ("score", pa.float64())])))])
-        if not index_part.num_rows or not probes.num_rows:
-            return out.empty_table()
-        of = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        points, asking = of(index_part), of(probes)
-        names = np.array(index_part.column("class").to_pylist())
-        order = np.argsort(names, kind="stable")
-        points, names, best = points[order], names[order], []
-        for at in range(0, len(asking), 512):
-            some = asking[at : at + 512] @ points.T
-            for q, line in zip(asking[at : at + 512], some, strict=True):
-                near = np.argpartition(-line, k + 8)[: k + 9] if len(line) > k + 9 else np.arange(len(line))
-                near = np.flatnonzero(line >= line[near].min() - 1e-9) if len(line) > k + 9 else near
-                exact = (points[near] * q).sum(1)  # a row's sum is the same in whichever part it is taken
-                top = np.lexsort((names[near], -exact))[: k + 1]
-                best.append([{"class": names[near[j]].item(), "score": float(exact[j])} for j in top])
-        return pa.table([probes.column("query"), pa.array(best, out.field("found").type)], schema=out)
-
-    key = ["t", "bucket", "part"]
-    near = index_rows.groupBy(*key).cogroup(probe_rows.groupBy(*key)).applyInArrow(rerank, f"query {ids}, found array<struct<class:{ids},score:double>>")
-    merged = near.select("query", F.explode("found").alias("f")).groupBy("query", F.col("f.class").alias("class")).agg(F.max("f.score").alias("score"))
-    by_score = Window.partitionBy("query").orderBy(F.col("score").desc(), "class")
-    kept = merged.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).select("query", "class", "score")
+        def probed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            points = index.lifted(vectors_of(batch.column(0)), True)
+            for t in range(1 if every else tables):
+                who, groups, lists = [], [], []
+                for q, point in enumerate(points):
+                    codes = np.arange(index.buckets) if every else np.sort(index.probes(point, t))
+                    own = codes // group_size
+                    starts = np.flatnonzero(np.diff(own, prepend=-1))
+                    who += [q] * len(starts)
+                    groups += own[starts].tolist()
+                    lists += np.split(codes.astype(np.int32), starts[1:])
+                sizes = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                taken = pa.array(np.array(who, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(who), t, np.int32)), pa.array(groups, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(lists))), *(c.take(taken) for c in batch.columns)],
+                    names=["t", "g", "codes", "v", "query"],
+                )
+
+        probes = written(by_batch(asking.select("v", "query"), probed, f"t int, g int, codes array<int>, v array<double>, query {ids}"), "probes")
+        slices = probes.groupBy("t", "g").agg(F.ceil(F.count("*") / SLICE_QUERIES).cast("int").alias("slices"))
+        cut = written(parts.join(slices, ["t", "g"]), "cut")  # a row a group
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        index_rows = places.join(cut, ["t", "g"]).select("t", "g", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), each("slices").alias("slice"), "code", "class", "v")
+        probe_rows = probes.join(cut, ["t", "g"]).select("t", "g", each("parts").alias("part"), F.pmod(F.xxhash64("query"), "slices").cast("int").alias("slice"), "codes", "query", "v")
+        key = ["t", "g", "part", "slice"]
+        near = index_rows.groupBy(*key).cogroup(probe_rows.groupBy(*key)).applyInArrow(lambda a, b: compared(a, b, k + 1), f"query {ids}, class {ids}, score double")
+        merged = near.groupBy("query", "class").agg(F.max("score").alias("score"))
+        by_score = Window.partitionBy("query").orderBy(F.col("score").desc(), "class")
+        return merged.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).select("query", "class", "score")
+
+    kept = written(found_by(texts, False), "kept")
+    if index.target < 1 or index.share < 1:
+        full = kept.groupBy("query").count().where(F.col("count") >= min(k + 1, n)).select("query")
+        short = written(texts.join(full, "query", "left_anti"), "short")
+        if short.limit(1).count():
+            kept = kept.join(short.select("query"), "query", "left_anti").unionByName(found_by(short, True))
     members = classes.select(F.element_at("ids", 1).alias("class"), "ids")
     found = written(kept.join(members, "class").select("query", F.explode("ids").alias("found"), "score"), "found")
     each = asked.join(texts.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v")).select(F.col("id").alias("query_id"), "query")
@@ -181,6 +237,57 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
     )
 
 
+def compared(index: pa.Table, probes: pa.Table, most: int) -> pa.Table:
+    """(query, class, score): for each row of ``probes`` (codes, query, v) its ``most`` nearest rows of ``index`` (code,
+    class, v) in the buckets of its codes; ties to the lesser class."""
+    kind = index.schema.field("class").type
+    out = pa.schema([("query", kind), ("class", kind), ("score", pa.float64())])
+    if not index.num_rows or not probes.num_rows:
+        return out.empty_table()
+    index = index.sort_by([("code", "ascending"), ("class", "ascending")])
+    points, asking = (vectors_of(t.column("v").combine_chunks()) for t in (index, probes))
+    lists = probes.column("codes").combine_chunks()
+    asked = np.repeat(np.arange(len(asking)), np.diff(lists.offsets.to_numpy()))
+    wanted = lists.flatten().to_numpy()
+    order = np.argsort(wanted, kind="stable")
+    asked, wanted = asked[order], wanted[order]
+    codes, starts = np.unique(index.column("code").to_numpy(), return_index=True)
+    ends = np.append(starts[1:], len(points))
+    lows, highs = np.searchsorted(wanted, codes), np.searchsorted(wanted, codes, "right")
+    least, held, size = np.full(len(asking), -np.inf), [], 0
+
+    def best() -> list[tuple[np.ndarray, ...]]:
+        """Of the pairs held, those of each query that are as near as its ``most``-th, to rounding."""
+        q, p, score = (np.concatenate(c) for c in zip(*held, strict=True))
+        by = np.lexsort((-score, q))
+        q, p, score = q[by], p[by], score[by]
+        place = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == most - 1)
+        least[q[place]] = score[place]
+        keep = score >= least[q] - 1e-9
+        return [(q[keep], p[keep], score[keep])]
+
+    for a, b, low, high in zip(starts, ends, lows, highs, strict=True):
+        for at in range(low, high, 4096):
+            who = asked[at : min(high, at + 4096)]
+            scores = asking[who] @ points[a:b].T
+            q, p = np.nonzero(scores >= least[who][:, None] - 1e-9)
+            held.append((who[q], a + p, scores[q, p]))
+            size += len(q)
+            if size > HELD_PAIRS:
+                held = best()
+                size = len(held[0][0])
+    if not size:
+        return out.empty_table()
+    ((q, p, _),) = best()
+    exact = np.concatenate([(asking[q[k : k + 65536]] * points[p[k : k + 65536]]).sum(1) for k in range(0, len(q), 65536)])  # a row's sum is the same in whichever task
+    names = index.column("class").combine_chunks()
+    ranks = np.argsort(np.argsort(names.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    by = np.lexsort((ranks[p], -exact, q))
+    q, p, exact = q[by], p[by], exact[by]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return pa.table([probes.column("query").take(pa.array(q[first])), names.take(pa.array(p[first])), pa.array(exact[first])], schema=out)
+
+
 def _classes(rows: DataFrame, most: int) -> DataFrame:
     """(v, ids): each vector with its ``most`` least ids. Ids are ranked within salts first, so that a vector that a
     third of all rows have is no single task's work."""
