@@ -2,10 +2,11 @@
 
 A text is scanned by fixed patterns; then its encoded runs (percent, Unicode and character escapes, base64, hex, and
 compressed bytes in these) are unwrapped into layers, each scanned and unwrapped in turn until no layer gives a new one.
-Digests of the layers seen end cycles. Each layer maps its code points to spans of the text, so that a find in any layer
-has a span in the text: exact for escapes, the encoded run for base64, hex and compressed layers. Runs that meet over
-line ends are one run as well. Within a run every alignment is read, so that an encoded piece is found whatever it is
-glued to; its span is then the piece.
+Digests of the layers seen end cycles; escapes of escapes are read as one, so that deep ones cost no more than their
+length. Each layer maps its code points to spans of the text, so that a find in any layer has a span in the text: exact
+for escapes, the encoded run for base64, hex and compressed layers. Runs that meet over line ends are one run as well.
+Within a run every alignment is read, so that an encoded piece is found whatever it is glued to; its span is then the
+piece.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import html
 import lzma
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
@@ -34,8 +36,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs of 32 and over are the runs that don't fail
 LEAST = {"assign": 8, "access": 16}
 
-#: Escapes, each its own code point, or a byte of one.
-ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
+#: Escapes, each its own code point, or a byte of one. Where an escape's first character is itself escaped, and that
+#: again, in the same way, the chain is one escape: ``%252541`` is ``A``.
+PERCENT, WIDE_U, SHORT_X = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})"), re.compile(r"\\(?:u005[cC])*u([0-9A-Fa-f]{4})"), re.compile(r"\\(?:x5[cC])*x([0-9A-Fa-f]{2})")
+BRACED = re.compile(r"\\(?:u\{0{0,4}5[cC]\})*u\{([0-9A-Fa-f]{1,6})\}")
+NAMED = re.compile(r"&(?:amp;|#0{0,5}38;|#[xX]0{0,4}26;)*(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
+ESCAPE = re.compile("|".join([f"(?:{PERCENT.pattern})+", BRACED.pattern, f"(?:{WIDE_U.pattern})+", f"(?:{SHORT_X.pattern})+", NAMED.pattern]))
+#: Steps by which a text's escapes are resolved one by one, each a layer; what is left then is resolved in one pass. And
+#: the code points that such a pass sees of an escape at once, a longer one being a chain.
+STEPS, WINDOW = 16, 64
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEXRUN = re.compile(r"(?:[0-9A-Fa-f]{2}){8,}")
 #: What parts the lines of a wrapped run: white space, quotes, marks of quoted or commented lines; line ends may be escapes.
@@ -70,8 +79,8 @@ class Layer:
     """A text with, for runs of its code points, their place in the original: (at, start, end, exact); exact runs map
     code point by code point, the others as one."""
 
-    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]]):
-        self.text, self.runs, self.starts = text, runs, [r[0] for r in runs]
+    def __init__(self, text: str, runs: list[tuple[int, int, int, bool]], steps: int = 0):
+        self.text, self.runs, self.starts, self.steps = text, runs, [r[0] for r in runs], steps
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         return self._of(start)[0], self._of(max(start, end - 1))[1]
@@ -174,29 +183,32 @@ def texts(data: bytes) -> Iterator[tuple[str, int, int]]:
 def unescaped(run: str) -> list[tuple[int, int, str]]:
     """(start, end, text) of a run of escapes of one kind; parts that aren't UTF-8 are left out."""
     if run[0] == "&":
-        new = html.unescape(run)
-        return [(0, len(run), new)] if new != run and "�" not in new else []
-    if run.startswith("\\u{"):
-        code = int(run[3:-1], 16)
+        name = NAMED.fullmatch(run)[1]
+        new = html.unescape(f"&{name};")
+        return [(0, len(run), new)] if new != f"&{name};" and "\ufffd" not in new else []
+    if m := BRACED.fullmatch(run):
+        code = int(m[1], 16)
         return [(0, len(run), chr(code))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else []
-    out: list[tuple[int, int, str]] = []
-    if run.startswith("\\u"):
-        codes, k = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)], 0
+    kind = PERCENT if run[0] == "%" else SHORT_X if SHORT_X.match(run) else WIDE_U
+    found = [(m.start(), m.end(), int(m[1], 16)) for m in kind.finditer(run)]
+    codes, out, k = [c for _, _, c in found], [], 0
+    if kind is WIDE_U:
         while k < len(codes):
             wide = 0xD800 <= codes[k] < 0xDC00 and k + 1 < len(codes) and 0xDC00 <= codes[k + 1] < 0xE000
             if wide:
-                out.append((6 * k, 6 * k + 12, chr(0x10000 + (codes[k] - 0xD800 << 10) + codes[k + 1] - 0xDC00)))
+                out.append((found[k][0], found[k + 1][1], chr(0x10000 + (codes[k] - 0xD800 << 10) + codes[k + 1] - 0xDC00)))
             elif not 0xD800 <= codes[k] < 0xE000:
-                out.append((6 * k, 6 * k + 6, chr(codes[k])))
+                out.append((*found[k][:2], chr(codes[k])))
             k += 1 + wide
         return out
-    width = 3 if run[0] == "%" else 4
-    data, k = bytes.fromhex(run.replace("%", "").replace("\\x", "")), 0
+    data = bytes(codes)
     while k < len(data):
         n = 1 if data[k] < 0x80 else 2 if data[k] >> 5 == 6 else 3 if data[k] >> 4 == 14 else 4 if data[k] >> 3 == 30 else 0
         try:
-            if n:
-                out.append((width * k, width * (k + n), data[k : k + n].decode()))
+            if n and k + n <= len(data):
+                out.append((found[k][0], found[k + n - 1][1], data[k : k + n].decode()))
+            else:
+                n = 0
         except UnicodeDecodeError:
             n = 0
         k += n or 1
@@ -227,7 +239,49 @@ def unescape(layer: Layer) -> Layer | None:
     if not parts:
         return None
     keep(done, len(text))
-    return Layer("".join(parts), runs)
+    return Layer("".join(parts), runs, layer.steps + 1)
+
+
+def settled(layer: Layer) -> Layer | None:
+    """The layer with escapes resolved until none is left, in one pass: what an escape stands for is read again with
+    what is around it. None where the layer has none."""
+    text, at, changed = layer.text, 0, False
+    codes, starts, ends = array("I"), array("q"), array("q")
+    back: list[tuple[str, int, int]] = []  # to be read before the rest of the text, the next one last
+    while back or at < len(text):
+        if back:
+            char, a, b = back.pop()
+        else:
+            char, (a, b), at = text[at], layer.span(at, at + 1), at + 1
+        if char in "%\\&":
+            near = "".join(x[0] for x in reversed(back[-WINDOW:]))
+            m = ESCAPE.match(char + near + text[at : at + WINDOW - len(near)])
+            units = unescaped(m[0]) if m else []
+            if units and units[0][0] == 0:
+                _, size, new = units[0]
+                for _ in range(size - 1):
+                    if back:
+                        b = back.pop()[2]
+                    else:
+                        b, at = layer.span(at, at + 1)[1], at + 1
+                back += [(c, a, b) for c in reversed(new)]
+                changed = True
+                last = next((k for k in range(len(codes) - 1, max(-1, len(codes) - WINDOW), -1) if codes[k] in (0x25, 0x5C, 0x26)), None)
+                if last is not None:  # may go on in what is new
+                    back += [(chr(codes[k]), starts[k], ends[k]) for k in range(len(codes) - 1, last - 1, -1)]
+                    del codes[last:], starts[last:], ends[last:]
+                continue
+        codes.append(ord(char))
+        starts.append(a)
+        ends.append(b)
+    if not changed:
+        return None
+    runs: list[tuple[int, int, int, bool]] = []
+    for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        exact = b - a == 1
+        if not runs or not (exact and runs[-1][3] and a - runs[-1][1] == k - runs[-1][0] or not exact and runs[-1][1:] == (a, b, False)):
+            runs.append((k, a, b, exact))
+    return Layer("".join(map(chr, codes)), runs, layer.steps + 1)
 
 
 def decoded(run: str) -> Iterator[bytes]:
@@ -245,7 +299,7 @@ def decoded(run: str) -> Iterator[bytes]:
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers right below: the unescaped text, and each encoded run's bytes where they are text or compressed."""
     text = layer.text
-    if ("%" in text or "\\" in text or "&" in text) and (new := unescape(layer)):
+    if ("%" in text or "\\" in text or "&" in text) and (new := (unescape if layer.steps < STEPS else settled)(layer)):
         yield new
     for m in ENCODED.finditer(text):
         for data in decoded(m[0]):
@@ -320,7 +374,8 @@ def joined(spans: list[Span]) -> str:
 
 def find_secrets(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row: id, base (spans of the text itself), spans (of all layers), as arrays of (kind, start, end) in code
-    points, end exclusive. Null text counts as empty and has none; repeated rows give a row each; other columns go."""
+    points, end exclusive. Null text counts as empty and has none; repeated rows give a row each; other columns go; an
+    empty table gives an empty result. Texts are scanned whole, whatever their length."""
     kind = dict(docs.dtypes)[id_column]
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
