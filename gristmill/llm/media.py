@@ -21,6 +21,8 @@ UNIT = 64
 GROUP = 16
 CHUNK = 256
 RATE = 8000
+#: Bytes of files that a task holds at once, or one file.
+AT_ONCE = 8 << 20
 #: Boxes that hold boxes; fixed by ISO/IEC 14496-12.
 CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf"})
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -202,36 +204,48 @@ def media_columns(files: DataFrame, media: str = "media", id_column: str = "doc_
     return by_batch(files.select(id_column, media), run, f"`{id_column}` {kind}, track int, codec string, seconds double, samples long, keyframes array<struct<start:long,end:long>>")
 
 
-def store_texts(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media.
+def store_texts(docs: DataFrame, id_column: str = "doc_id", keep_media: bool = True) -> DataFrame:
+    """Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, codec,
+    seconds, samples, keyframes (start, end in the file), and with ``keep_media`` the file itself, media.
 
     The text's UTF-8 and bytes 0 up to a positive multiple of 64 make a track; payload figures are of what is read back
-    by the sample tables. Null text counts as empty; repeated rows are stored each; other columns go. ``feature`` has
-    codec, rate, duration, samples, keyframes, and a checksum of the keyframes' ranges.
+    by the sample tables, the others of the boxes. Null text counts as empty; repeated rows are stored each; a text of
+    any length is one file; other columns go; an empty table gives an empty result. ``feature`` has codec, rate,
+    duration, samples, keyframes, and a checksum of the keyframes' ranges.
     """
     kind = dict(docs.dtypes)[id_column]
+    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    columns = {
+        "n_bytes": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()), "payload_sha256": ("string", pa.string()), "tail_crc32": ("long", pa.int64()),
+        "media_bytes": ("long", pa.int64()), "media_sha256": ("string", pa.string()), "feature": ("string", pa.string()), "codec": ("string", pa.string()),
+        "seconds": ("double", pa.float64()), "samples": ("long", pa.int64()), "keyframes": ("array<struct<start:long,end:long>>", ranges),
+    } | ({"media": ("binary", pa.binary())} if keep_media else {})
+
+    def row(text: bytes) -> tuple:
+        media = write_track(text + bytes(-len(text) % UNIT or (0 if text else UNIT)))
+        (track,) = describe(media)
+        payload = read_payload(media, track)
+        keys = track.ranges(track.keys)
+        crc = zlib.crc32(struct.pack(f"<{2 * len(keys)}Q", *(x for r in keys for x in r)))
+        feature = f"{track.codec}/{track.timescale} duration={track.duration} samples={len(track.sizes)} keyframes={len(keys)} ranges={crc:08x}"
+        stored = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+        found = (track.codec, track.seconds, len(track.sizes), [{"start": a, "end": b} for a, b in keys])
+        return (*stored, *found, media) if keep_media else (*stored, *found)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for value in batch.column(1):
-            text = value.as_py().encode()
-            media = write_track(text + bytes(-len(text) % UNIT or (0 if text else UNIT)))
-            (track,) = describe(media)
-            payload = read_payload(media, track)
-            keys = track.ranges(track.keys)
-            ranges = zlib.crc32(struct.pack(f"<{2 * len(keys)}Q", *(x for r in keys for x in r)))
-            feature = f"{track.codec}/{track.timescale} duration={track.duration} samples={len(track.sizes)} keyframes={len(keys)} ranges={ranges:08x}"
-            rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, media))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-        for at in range(0, len(rows), 1000):
-            columns = zip(*rows[at : at + 1000], strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[id_column, *names])
-
-    schema = f"`{id_column}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
+        at = 0
+        while at < batch.num_rows:  # files of some millions of bytes at a time
+            rows, size, first = [], 0, at
+            while at < batch.num_rows and (not rows or size < AT_ONCE):
+                rows.append(row(batch.column(1)[at].as_py().encode()))
+                size, at = size + rows[-1][4], at + 1
+            arrays = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), columns.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *arrays], names=[id_column, *columns])
+
+    schema = f"`{id_column}` {kind}, " + ", ".join(f"{name} {form}" for name, (form, _) in columns.items())
     return by_batch(docs.select(id_column, text_of().alias("text")), run, schema)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` stored as a media file and read back."""
-    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("media")
+    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_media=False)

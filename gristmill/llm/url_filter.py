@@ -98,7 +98,8 @@ def filter_urls(
     The rule's verdict holds where one fits. Else the host's: block if its distrust is over ``floor`` and over
     ``threshold`` times its trust, else allow; a host that neither reaches is allowed, as is the empty host. Scores are
     shares of all seeds, so that a ``floor`` over 0 means less on small tables than on large ones.
-    Null html has no links; repeated rows are judged alike, and add to their hosts' mass; other columns are left out.
+    Null html has no links; repeated rows are judged alike, and add to their hosts' mass; pages of any length are read
+    whole; other columns are left out; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     judged = pages.select(F.col(id_column), host.alias("host"), path.alias("path"), "html")
