@@ -3,6 +3,7 @@
 import base64
 import gzip
 import random
+import time
 
 import corpus_pipeline
 import pytest
@@ -32,9 +33,15 @@ def docs(spark):
     return spark.createDataFrame(ROWS, DOCS)
 
 
+def edits_of(docs):
+    return docs.selectExpr("doc_id", "1 AS seq", "0 AS start", "2 AS end", "CAST(NULL AS STRING) AS new").where("doc_id = 4 OR doc_id IS NULL").distinct()
+
+
 OPERATORS = {
     "pack": lambda d: packing.pack(packing.pieces(d, VOCAB)),
-    "edit": lambda d: edit_counts.edit_counts(d, edit_counts.revision, VOCAB, ("source", "lang")),
+    "trees": lambda d: edit_counts.count_trees(d, VOCAB),
+    "edits": lambda d: edit_counts.apply_edits(edit_counts.with_edits(edit_counts.count_trees(d, VOCAB), edits_of(d)), VOCAB),
+    "keep_one": jaccard_join.keep_one,
     "media": media.store_texts,
     "secrets": secrets.find_secrets,
     "redact": secrets.redact,
@@ -48,8 +55,8 @@ OPERATORS = {
 def test_odd_rows_and_empty_table(docs, name):
     found = OPERATORS[name](docs)
     count = found.count()
-    assert count >= len(ROWS) or name == "repeated"
-    if name not in ("pack", "repeated"):
+    assert count >= len(ROWS) or name in ("repeated", "keep_one")
+    if name not in ("pack", "repeated", "keep_one"):
         assert count == len(ROWS)
     empty = OPERATORS[name](docs.limit(0))
     assert empty.collect() == [] and empty.columns == found.columns
@@ -95,7 +102,6 @@ def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [2.0, 1.0]), (23, [1.0, 0.0, 0.0]), (22, [2.0, 1.0])]
     vectors = spark.createDataFrame([(a, b, 0, 0.0) for a, b in rows], "vec_id long, embedding array<float>, v int, score double")
-    vectors = vectors.where("vec_id <> 23")
     got = [tuple(r) for r in neighbours.search(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 22, 2.0), (0, 2, 20, 1.0), (0, 3, 21, 1.0), (20, 1, 22, 2.0), (20, 2, 0, 1.0), (20, 3, 21, 1.0)]
     assert neighbours.search(vectors.limit(0), vectors).collect() == []
@@ -182,10 +188,89 @@ def test_neighbours_beside_other_lengths(spark):
 def test_end_tags_of_deep_elements():
     deep = "<div>" * 400 + "deep<nav>menu</nav><form>ask</form>" + "</div>" * 400
     page = f"<body><div>top</div><div><article><p>before</p>{deep}<p>after</p></article></div><div>end</div></body>"
-    assert html_text.extract(page, html_text.main_region(html_text.expression(html_text.parse(page)))).split() == ["before", "deep", "after"]
+    assert own(page)[0] == "before" and " ".join(own(page)).split() == ["before", "deep", "after"]
 
 
 def test_names_within_the_article():
     page = """<body><article><h2 id="related-work">Related</h2><p>one</p><section id="search-methods"><p>two</p></section>
         <div class="ad">buy</div><div class="related-posts">more</div><div role="navigation">go</div></article></body>"""
     assert html_text.extract(page, html_text.main_region(html_text.expression(html_text.parse(page)))).split() == ["Related", "one", "two"]
+
+
+def own(page):
+    return html_text.extract(page, None).split("\n")
+
+
+@pytest.mark.parametrize("name", ["site no-sidebar", "entry-content has-comments", "post-body search-result", "wrapper with-banner"])
+def test_names_of_regions_that_hold_the_text(name):
+    paragraphs = ["first paragraph of the text " * 8, "second paragraph of it " * 8]
+    page = f'<body><nav>go</nav><div class="{name}"><p>{paragraphs[0]}</p><p>{paragraphs[1]}</p></div><div class="sidebar">side</div></body>'
+    assert own(page) == [p.strip() for p in paragraphs]
+    assert own(f"<body><div class='comments'><p>{paragraphs[0]}</p></div></body>") == [paragraphs[0].strip()]  # nothing else is there
+
+
+def test_deep_blocks_stay_apart():
+    deep = "<div>" * 300 + "<p>one</p><p>two</p><nav>menu</nav>three<div>four</div>" + "</div>" * 300
+    assert own(f"<body><article><p>before</p>{deep}<p>after</p></article></body>") == ["before", "one", "two", "three", "four", "after"]
+
+
+def host_region(pages):
+    wrapper = None
+    for page in pages:
+        new = html_text.expression(html_text.parse(page))
+        wrapper = html_text.align(wrapper, new) if wrapper else new
+    return html_text.main_region(wrapper)
+
+
+def test_the_wrapper_tells_content_from_template():
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("abcdefghij") * rng.randrange(2, 9) for _ in range(n))
+    template = words(400)
+    texts = [[words(30) for _ in range(rng.randrange(1, 5))] for _ in range(6)]
+    pages = [f"<body><div class='x'><p>{template}</p></div><div class='y'><div>Read more on our site</div>{''.join(f'<p>{t}</p>' for t in own)}</div></body>" for own in texts]
+    region = host_region(pages)
+    for page, own_texts in zip(pages, texts, strict=True):
+        assert html_text.extract(page, region).split("\n") == own_texts
+        assert template in html_text.extract(page, None)  # the page alone can't tell
+    assert html_text.extract(pages[0], host_region([pages[0]] * 5)).split("\n") == [template]  # copies alone: no slots, all letters weigh
+
+
+def test_an_article_keeps_what_its_pages_share():
+    pages = [f"<body><article><h1>Title {k}</h1><p>shared passage of all pages</p><p>{'own words ' * (20 + k)}</p></article></body>" for k in range(5)]
+    region = host_region(pages)
+    assert all("shared passage of all pages" in html_text.extract(p, region) for p in pages)
+
+
+def test_cards_are_no_article():
+    cards = "".join(f"<article><a href='/{k}'>card {k}</a></article>" for k in range(5))
+    page = f"<body><div class='teasers'>{cards}</div><div id='c'><p>{'long text of the page ' * 30}</p><p>and more</p></div></body>"
+    assert own(page)[-1] == "and more" and not any("card" in b for b in own(page))
+
+
+def test_runs_that_repeat_are_groups():
+    kids = html_text.expression(html_text.parse("<div>" + "<h2>a</h2><p>b</p>" * 3 + "<hr></div>"))[2][0][2]
+    assert [(k[0], k[1]) for k in kids] == [(f"(h2{html_text.GAP}p)", "+"), ("hr", "")]
+    one = html_text.expression(html_text.parse("<div><h2>a</h2><p>c</p><hr></div>"))[2][0]
+    both = html_text.align(html_text.expression(html_text.parse("<div>" + "<h2>a</h2><p>b</p>" * 3 + "<hr></div>"))[2][0], one)
+    assert [(k[0], k[1]) for k in both[2]] == [(f"(h2{html_text.GAP}p)", "+"), ("hr", "")]
+
+
+def test_wrappers_stay_small_and_fast():
+    pages = [f"<body><div id='x'>{''.join(f'<div class=c{chr(97 + (7 * k + j) % 26)}{chr(97 + k % 26)}>t{k}</div><p>q</p>' for j in range(3))}</div></body>" for k in range(200)]
+    wrapper = None
+    for page in pages:
+        new = html_text.expression(html_text.parse(page))
+        wrapper = html_text.align(wrapper, new) if wrapper else new
+    assert len(wrapper[2][0][2][0][2]) <= 3 * html_text.MOST_KIDS
+    a, b = (html_text.expression(html_text.parse("<div>" + "".join(f"<h2>t</h2><p>{x}</p>" + "<hr>" * (k % 7 == 0) for k in range(3000)) + "</div>")) for x in "ab")
+    began = time.process_time()
+    html_text.align(a, b)
+    assert time.process_time() - began < 0.3
+
+
+def test_a_hot_host_is_merged_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "MERGED", 2)
+    rows = [(k, "http://hot.com/", f"<body><div class='t'>the same</div><div class='c'><p>{'text ' * (9 + k)}</p></div></body>") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16)
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    assert got == {k: ("text " * (9 + k)).strip() for k in range(60)}

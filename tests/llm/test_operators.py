@@ -90,6 +90,64 @@ def test_toxicity_held_out(spark, table):
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in rows) / len(rows) > 0.93
 
 
+def test_toxicity_on_held_out_rows_alone(spark):
+    mid = SMALL.replace("0.001", "0.01")
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{mid}/labels.parquet").to_pylist()}
+    rows = [r for r in toxicity.op2_toxicity(spark, mid).collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = ([r.predicted for r in rows if labels[r.doc_id] == k] for k in (1, 0))
+    assert len(toxic) > 5 and sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
+def test_label_model_is_expectation_maximisation():
+    rng = np.random.default_rng(1)
+    labels = (rng.random(300) < 0.3).astype(float)
+    votes = (rng.random((300, 4)) < np.where(labels[:, None] > 0, [0.7, 0.5, 0.9, 0.2], [0.05, 0.1, 0.02, 0.2])).astype(float)
+    votes[:, 3] = votes[:, 0]  # says the same as the first
+    model, posterior = toxicity.fit_label_model(votes, labels, rounds=6)
+    every, q = [[*v, y] for v, y in zip(votes.tolist(), labels.tolist(), strict=True)], [0.02 + 0.96 * y for y in labels]
+    for _ in range(6):
+        rates, weight = [[0.0] * 5 for _ in range(2)], []
+        for c in (0, 1):
+            share = [p if c else 1 - p for p in q]
+            for j in range(5):
+                believed = (0.02, 0.9)[c] if j == 4 else (0.01, 0.3)[c]
+                rates[c][j] = min(1 - 1e-4, max(1e-4, (sum(s * v[j] for s, v in zip(share, every, strict=True)) + 4 * believed) / (sum(share) + 4)))
+        prior = (sum(q) + 1) / (len(q) + 10)
+        for i in range(5):
+            total = 1.0
+            for j in range(4):
+                worst = 0.0
+                for c in (0, 1):
+                    share = [p if c else 1 - p for p in q]
+                    cov = lambda a, b: sum(s * (v[a] - rates[c][a]) * (v[b] - rates[c][b]) for s, v in zip(share, every, strict=True)) / max(1.0, sum(share))  # noqa: B023, E731
+                    worst = max(worst, cov(i, j) / max(cov(i, i), 1e-6) ** 0.5 / max(cov(j, j), 1e-6) ** 0.5)
+                total += worst if i != j and i < 4 and worst > 0.1 else 0
+            weight.append(1 / total)
+        q = []
+        for v in every:
+            odds = np.log(prior / (1 - prior))
+            for j in range(5):
+                odds += weight[j] * (np.log(rates[1][j] / rates[0][j]) if v[j] else np.log((1 - rates[1][j]) / (1 - rates[0][j])))
+            q.append(1 / (1 + np.exp(-odds)))
+    assert np.allclose(posterior, q, atol=1e-6) and model.weight[0] < 0.7 and model.weight[3] < 0.7
+
+
+def test_words_score_what_no_voter_sees():
+    model, posterior = toxicity.fit_label_model(np.zeros((200, 3)), np.tile([0.0, 1.0], 100))
+    words = [np.array([7, 8, 9 + k % 2], np.uint16) for k in range(200)]
+    fitted = toxicity.fit_classifier(np.zeros((200, 3), np.float32), words, posterior, model)
+    clean, toxic = fitted.score([(np.zeros(3, np.float32), np.array(w, np.uint16)) for w in ([7, 8, 9], [7, 8, 10])])
+    assert clean < 0.2 and toxic > 0.8
+
+
+def test_rows_that_repeat_an_id_are_bounded_without_bias(spark):
+    rows = [(k, f"text number {k}, version {j}" + ", you idiot, you worthless moron" * (k % 2)) for k in range(60) for j in range(4)]
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels, most=60))
+    assert got.where("(predicted = 1) <> (doc_id % 2 = 1)").count() == 0
+
+
 def test_stems_are_mined(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeiorst") for _ in range(7))
@@ -145,6 +203,19 @@ def test_packing_is_whole_and_tight(spark, table):
     assert len(bins) <= -(-sum(r["length"] for r in rows) // 2048) + 2
 
 
+def test_small_windows_and_few_bins(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(k, rng.choice([3, 700, 1100, 1500, 2048, rng.randrange(1, 2049)])) for k in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "name long, length long"), open_bins=64, window=200)
+    assert sorted((r.name, r.length) for r in got.collect()) == rows
+    filled = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("places"), F.count("*").alias("rows"))
+    assert filled.where("n <> end OR n > 2048 OR places <> rows").count() == 0
+    free = packing.BestFit(2048, 10**9)
+    assert filled.count() <= 1.03 * len({free.place(n)[0] for _, n in sorted(rows, key=lambda r: -r[1])})
+
+
 def test_best_fit_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (7, 6, 3, 8, 4, 10)] == [(0, 0), (1, 0), (0, 7), (2, 0), (1, 6), (3, 0)]
@@ -220,12 +291,52 @@ def test_edits_count_as_a_new_text(spark, table):
     tokenizer = Tokenizer.from_file(VOCAB)
     docs, got = {r["doc_id"]: r for r in table("documents")}, {r["doc_id"]: r for r in run(spark, "op7_")}
     assert set(docs) == set(got)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    again = whole = 0
     for k, d in docs.items():
-        text = d["text"]
-        n = len(tokenizer.encode(text, add_special_tokens=False).ids)
-        for a, b, new in edit_counts.revision(text, d["source"], d["lang"]):
+        text, source, lang = d["text"], d["source"], d["lang"]
+        n, first = count(text), text[:16]
+        for step in range(4):
+            size, eighth = len(text), len(d["text"]) // 8
+            a, b, new = [(size // 2, size // 2, f"{source}'s"), (eighth, eighth + eighth // 2, ""), (max(0, size - 16), size, first), (0, 0, f"{lang}\n")][step]
             text = text[:a] + new + text[b:]
-        assert (got[k]["n_tokens"], got[k]["n_tokens_edited"], got[k]["n_chars_edited"]) == (n, len(tokenizer.encode(text, add_special_tokens=False).ids), len(text))
+        assert (got[k]["n_tokens"], got[k]["n_tokens_edited"], got[k]["n_chars_edited"]) == (n, count(text), len(text))
+        assert sum(x["chars"] for x in got[k]["tree"]) == len(text) and sum(x["tokens"] for x in got[k]["tree"]) == count(text)
+        at = 0
+        for x in got[k]["tree"]:
+            assert count(text[at : at + x["chars"]]) == x["tokens"]
+            at += x["chars"]
+        again, whole = again + got[k]["encoded_again"], whole + len(text)
+    assert again < whole / 2
+
+
+def test_stored_trees_take_a_table_of_edits(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(VOCAB), random.Random(4)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = {k: " ".join(f"word{rng.randrange(50)}" for _ in range(rng.choice([0, 3, 900]))) for k in range(6)}
+    trees = edit_counts.count_trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), VOCAB)
+    for _ in range(2):  # the edited trees are stored again
+        edits = [(k, s, rng.randrange(400), rng.randrange(500), rng.choice(["", "new words", "x" * 30])) for k in texts for s in range(5) if k != 2]
+        rng.shuffle(edits)
+        trees = edit_counts.apply_edits(edit_counts.with_edits(trees, spark.createDataFrame(edits, "doc_id long, seq int, start int, end int, new string")), VOCAB)
+        for k, _, a, b, new in sorted(edits, key=lambda e: e[:2]):
+            a = min(a, len(texts[k]))
+            texts[k] = texts[k][:a] + new + texts[k][max(a, min(b, len(texts[k]))) :]
+        got = {r.doc_id: r for r in trees.collect()}
+        assert {k: (r.text, r.n_tokens_edited, sum(x.tokens for x in r.tree)) for k, r in got.items()} == {k: (t, count(t), count(t)) for k, t in texts.items()}
+
+
+def test_slots_split_and_edits_encode_little():
+    coder, text = ENCODERS.setdefault("one", ChunkEncoder(VOCAB)), "some words of a text " * 400
+    leaf = edit_counts.leaves(text)
+    tree = edit_counts.CountTree(leaf, [coder.count(p) for p in leaf], coder.count)
+    for k in range(300):
+        tree.edit(4000, 4000, f"inserted words number {k} of many, ")
+        text = text[:4000] + f"inserted words number {k} of many, " + text[4000:]
+    assert tree.text() == text and tree.total == coder.count(text) and max(map(len, tree.leaf)) <= 2 * edit_counts.LEAF
+    assert tree.encoded < 6 * 300 * 40
 
 
 @settings(max_examples=80, deadline=None)
@@ -233,7 +344,7 @@ def test_edits_count_as_a_new_text(spark, table):
 def test_any_edits(text, edits):
     coder = ENCODERS.setdefault("one", ChunkEncoder(VOCAB))
     leaf = edit_counts.leaves(text, 5) or [""]
-    tree = edit_counts.CountTree(leaf, [coder.count(p) for p in leaf], coder.count)
+    tree = edit_counts.CountTree(leaf, [coder.count(p) for p in leaf], coder.count, 5)
     for a, b, new in edits:
         tree.edit(a, b, new)
         a = min(a, len(text))
@@ -260,10 +371,64 @@ def test_neighbours_recall(spark, table):
 
 
 def test_probes_come_in_order_of_success():
-    index = neighbours.Index(np.ones((1, 2, 3)), np.zeros((1, 2)), 1.0, 2, 1.0, 0.3, 0.9)
-    probes = index.probes(np.array([0.2, -0.7]))
-    assert probes[0] == index.bucket(np.array([[0, -1]]))[0]
-    assert 1 < len(probes) <= 25 and len(set(probes.tolist())) == len(probes)
+    rng = np.random.default_rng(3)
+    index = neighbours.Index(rng.standard_normal((1, 3, 65)), np.zeros((1, 3)), 0.8, 2, 1.0, 0.8, 0.9)
+    query = rng.standard_normal(65)
+    query /= np.linalg.norm(query)
+    order, sums = index.successes(query, 0)
+    # neighbours at that nearness, drawn
+    off = rng.standard_normal((50000, 65))
+    off -= (off @ query)[:, None] * query
+    near = 0.8 * query + 0.6 * off / np.linalg.norm(off, axis=1)[:, None]
+    seen = np.bincount(index.bucket(near, 0), minlength=index.buckets)[order] / len(near)
+    assert abs(seen.cumsum() - sums).max() < 0.03 and sorted(order.tolist()) == list(range(64)) and (np.diff(sums, n=2) < 1e-12).all()
+    probes = index.probes(query, 0)
+    assert probes.tolist() == order[: len(probes)].tolist() and seen[: len(probes)].sum() > 0.8
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_neighbours_prune_where_data_cluster(spark, clusters):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((6000, 24))
+    if clusters:
+        vectors = 4 * rng.standard_normal((clusters, 24))[rng.integers(0, clusters, 6000)] + vectors
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    index = neighbours.fit(rows.selectExpr("vec_id AS id", "embedding AS v"), 20, 300)
+    assert index.share < (0.2 if clusters else 1.01)
+    got = defaultdict(set)
+    for r in neighbours.search(rows, rows.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    scores = vectors[::20] @ vectors.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argpartition(-scores, 19, axis=1)[:, :20]
+    assert np.mean([len(got[20 * k] & set(b.tolist())) / 20 for k, b in enumerate(best)]) > 0.9
+
+
+def test_queries_that_find_too_few_visit_all(spark):
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate((rng.standard_normal((3000, 8)), [[1e6] * 8]))  # beside it all others look alike
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.search(rows, rows.where("vec_id % 20 = 0")).groupBy("query_id").count().collect()
+    assert len(got) == 151 and all(r["count"] == 20 for r in got)
+
+
+def test_compared_keeps_ties_and_rounds():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    v, codes = rng.integers(-2, 3, (900, 4)).astype(float), rng.integers(0, 6, 900)
+    index = pa.table({"code": pa.array(codes, pa.int32()), "class": pa.array(rng.permutation(900)), "v": v.tolist()})
+    visits = [sorted(rng.choice(6, 3, replace=False).tolist()) for _ in range(50)]
+    q = rng.integers(-2, 3, (50, 4)).astype(float)
+    probes = pa.table({"codes": pa.array(visits, pa.list_(pa.int32())), "query": pa.array(range(50)), "v": q.tolist()})
+    names, want = index.column("class").to_numpy(), set()
+    for k in range(50):
+        there = np.isin(codes, visits[k])
+        score = v[there] @ q[k]
+        order = np.lexsort((names[there], -score))[:7]
+        want |= {(k, int(names[there][j]), float(score[j])) for j in order}
+    assert {tuple(r.values()) for r in neighbours.compared(index, probes, 7).to_pylist()} == want
 
 
 def test_base_spans(spark, table):
