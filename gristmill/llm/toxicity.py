@@ -352,7 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: st
         columns = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=["hits", "words", "label"])
 
-    rows = by_batch(sample, vote, "hits binary, words binary, label int").orderBy("hits", "label", "words").toArrow()  # ``most`` rows
+    rows = by_batch(sample, vote, "hits binary, words binary, label int").toArrow()  # ``most`` rows
+    rows = rows.sort_by([("hits", "ascending"), ("label", "ascending"), ("words", "ascending")])
     hits = np.stack([np.frombuffer(b, np.float32) for b in rows.column("hits").to_pylist()]) if rows.num_rows else np.zeros((0, len(voters.names)), np.float32)
     given = rows.column("label").to_numpy().astype(float)
     model, posterior = fit_label_model((hits > 0).astype(float), given)
