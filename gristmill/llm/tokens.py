@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that a task's cache has, about, before it starts anew; and of an entry besides its chunk and ids.
-CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: Code points that are encoded at once.
 AT_ONCE = 4_000_000
 MARKS = r".,;:!?*#%$&"
