@@ -1,6 +1,6 @@
 """The operators' queries and their SQL."""
 
-from gristmill.llm import edit_counts, html_text, jaccard_join, media, mixing, neighbours, packing, secrets, toxicity, url_filter
+from gristmill.llm import edit_counts, first_fit, html_text, jaccard_join, media, mixing, neighbours, packing, secrets, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         neighbours.op8_nearest_neighbours,
         secrets.op9_secret_scan,
         jaccard_join.op10_jaccard_join,
+        first_fit.op11_first_fit_packing,
     )
 }
 ORACLE_SQL = {"op5_mixing": mixing.OP5_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}

@@ -1,0 +1,116 @@
+"""First-fit decreasing packing against plain first fit, and its pieces against the tokenizer."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from conftest import SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gristmill.llm import first_fit
+from gristmill.llm.tokens import ByteEncoder, vocabulary_path
+
+VOCAB = vocabulary_path("byte_bpe_50k.json")
+
+
+def plain_first_fit(lengths, capacity):
+    bins = []
+    for row, n in enumerate(lengths):
+        for b in bins:
+            if sum(x[2] for x in b) + n <= capacity:
+                b.append((row, 0, n))
+                break
+        else:
+            bins.append([(row, 0, n)])
+    return bins
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
+def test_tree_is_first_fit_and_cuts_leave_no_padding(lengths):
+    lengths = sorted(lengths, reverse=True)
+    bins = first_fit.first_fit(lengths, 64)
+    assert bins == plain_first_fit(lengths, 64)
+    packed = first_fit.topped_up([list(b) for b in bins], 64)
+    used = [sum(p[2] for p in b) for b in packed]
+    assert sum(used) == sum(lengths) and all(n == 64 or n & (n - 1) == 0 for n in used) and sum(n < 64 for n in used) <= 6
+    own = defaultdict(list)
+    for row, start, n in (p for b in packed for p in b):
+        own[row].append((start, n))
+    for row, n in enumerate(lengths):
+        at = 0
+        for start, m in sorted(own[row]):
+            assert start == at and m > 0
+            at += m
+        assert at == n
+
+
+def check(rows, texts, capacity=1024, unique=True):
+    """``rows`` against the texts' ids; texts that share an id are compared by their number of ids alone."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCAB)
+    bins, own = defaultdict(list), defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+        own[r.doc_id].append(r)
+    padding = 0
+    for spans in bins.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at and length > 0
+            at += length
+        assert at <= capacity
+        padding += 0 if at & (at - 1) == 0 else capacity - at
+    for doc_id, text in texts:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        if not unique:
+            continue
+        at = 0
+        for r in sorted(own[doc_id], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    return padding, len(bins)
+
+
+def test_query(spark):
+    texts = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()]
+    rows = first_fit.op11_first_fit_packing(spark, SMALL).collect()
+    padding, sequences = check(rows, texts)
+    assert padding == 0 and sequences <= -(-sum(r.length for r in rows) // 1024) + 10
+
+
+def test_groups_and_odd_rows(spark):
+    """Small groups, rows alike, null and empty texts, ids of another type."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["a", "some", "words.", "Ünï", "中文"]) for _ in range(rng.randrange(0, 900)))) for k in range(400)] + [(400, None), (401, ""), (402, " \n\t "), (403, "x" * 50_000)]
+    got = first_fit.pack_first_fit(spark.createDataFrame(rows, "doc_id long, text string"), VOCAB, group=32)
+    assert check(got.collect(), rows)[0] == 0
+    alike = spark.createDataFrame([(7, "one two three", 5)] * 500 + [(None, "x", 1)] * 3, "doc_id long, text string, start int")
+    got = first_fit.pack_first_fit(alike, VOCAB, group=64).collect()
+    assert check(got, [], unique=False)[0] == 0 and sum(r.length for r in got) == 500 * 4 + 3 * 2 and {r.doc_tokens for r in got} == {4, 2}
+    dated = spark.sql("SELECT DATE'2020-01-02' AS doc_id, 'a b' AS text")
+    assert [(str(r.doc_id), r.length) for r in first_fit.pack_first_fit(dated, VOCAB).orderBy("start").collect()] in ([("2020-01-02", 3)], [("2020-01-02", 2), ("2020-01-02", 1)])
+    assert first_fit.pack_first_fit(dated.where("false"), VOCAB).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.text("ab '.,\n\t\x1c\x85 é中1<|", max_size=30), min_size=1, max_size=5))
+def test_ids_are_the_tokenizer_s(texts):
+    coder = ENCODER.setdefault("one", ByteEncoder(VOCAB))
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in coder.encode_batch(texts)] == want
+
+
+ENCODER: dict = {}
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "Ᲊx \U0001f600 y", "don't  stop\n\n now ", "word " * 5000])
+def test_special_texts(text):
+    coder = ENCODER.setdefault("one", ByteEncoder(VOCAB))
+    assert next(coder.encode_batch([text])).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
