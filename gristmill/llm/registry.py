@@ -1,6 +1,6 @@
 """The operators' queries and their SQL."""
 
-from gristmill.llm import edit_counts, first_fit, html_text, jaccard_join, media, mixing, neighbours, packing, secrets, toxicity, url_filter, whitening
+from gristmill.llm import collocations, edit_counts, first_fit, html_text, jaccard_join, media, mixing, neighbours, packing, secrets, toxicity, url_filter, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         jaccard_join.op10_jaccard_join,
         first_fit.op11_first_fit_packing,
         whitening.op12_embedding_whitening,
+        collocations.op13_phrase_collocations,
     )
 }
-ORACLE_SQL = {"op5_mixing": mixing.OP5_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}
+ORACLE_SQL = {"op5_mixing": mixing.OP5_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL, "op13_phrase_collocations": collocations.OP13_SQL}
