@@ -6,7 +6,9 @@
    part the join over the cluster; no pair is made from them.
 3. Under a key, classes are points: shingles are hashed into groups, the counts are the coordinates. An R-tree bounds
    the overlap with a whole node by the sum of coordinate minima; what passes is a candidate. A key with many classes is
-   dealt into blocks, and each pair of blocks is a task's work by itself.
+   dealt into blocks. First neighbours in the chain of blocks alone are compared, which joins a group of near copies
+   by links in proportion to it; after that a component that has many of a key's classes has blocks of its own, and
+   blocks of one component are never compared.
 4. Candidates are verified on whole sets, which are made of their texts again. A component proposes its best candidates
    outside it first, more in each round until none is left: what a component's links already join is never expanded into
    pairs.
@@ -33,8 +35,8 @@ PART, WHOLE = 4, 5
 FREQUENT_BITS = 22
 #: Bytes of ids up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_BYTES = 8_000_000
-#: Classes of a block of a key.
-BLOCK = 1024
+#: Classes of a block of a key; a component with more than half as many under a key has blocks of its own there.
+BLOCK = 512
 LEAF = 32
 MOST_GROUPS = 512
 QUERIES = 1024
@@ -104,28 +106,31 @@ def folded(vector: np.ndarray, groups: int) -> np.ndarray:
 
 class CountRTree:
     """An R-tree over count vectors, bulk-loaded by halving at the median of the widest coordinate. A node has its
-    points' greatest counts and their least and greatest sizes."""
+    points' greatest counts, their least and greatest sizes, and the component that all of them are of, or None."""
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        self.vectors, self.sizes = vectors, sizes
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
+        self.vectors, self.sizes, self.roots = vectors, sizes, roots
         self.root = self._node(np.arange(len(sizes)))
 
     def _node(self, rows: np.ndarray):
-        some, n = self.vectors[rows], self.sizes[rows]
-        top = some.max(0)
+        some, n, roots = self.vectors[rows], self.sizes[rows], self.roots[rows]
+        top, one = some.max(0), roots[0] if (roots == roots[0]).all() else None
         if len(rows) <= LEAF:
-            return top, n.min(), n.max(), rows, None
+            return top, n.min(), n.max(), one, rows, None
         widest = int((top - some.min(0)).argmax())
         order = rows[np.argsort(some[:, widest], kind="stable")]
         half = len(order) // 2
-        return top, n.min(), n.max(), None, (self._node(order[:half]), self._node(order[half:]))
+        return top, n.min(), n.max(), one, None, (self._node(order[:half]), self._node(order[half:]))
 
-    def search(self, queries: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, point, bound) of all pairs that the bound lets through, the queries taken down the tree together."""
+    def search(self, queries: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, bound) of all pairs of two components that the bound lets through, the queries taken down the
+        tree together; a node that is all of a query's own component is not entered."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         work = [(self.root, np.arange(len(sizes)))]
         while work:
-            (top, low, high, rows, kids), active = work.pop()
+            (top, low, high, one, rows, kids), active = work.pop()
+            if one is not None:
+                active = active[roots[active] != one]
             n = sizes[active]
             active = active[(n * WHOLE >= PART * low) & (n * PART <= WHOLE * high)]
             bound = np.minimum(queries[active], top).sum(1)
@@ -139,6 +144,7 @@ class CountRTree:
                 n = self.sizes[row]
                 bound = np.minimum(queries[active], self.vectors[row]).sum(1)
                 fits = ((PART + WHOLE) * bound >= PART * (sizes[active] + n)) & (sizes[active] * WHOLE >= PART * n) & (sizes[active] * PART <= WHOLE * n)
+                fits &= roots[active] != self.roots[row]
                 if fits.any():
                     out.append((active[fits], np.full(int(fits.sum()), row), bound[fits]))
         if not out:
@@ -184,14 +190,13 @@ def proposals(
         if len(rows) < 2 or not (widths[rows] == width).any():
             continue
         points = np.stack([folded(vectors[k], width) for k in rows])
-        tree = CountRTree(points, sizes[rows])
+        tree = CountRTree(points, sizes[rows], roots[rows])
         for at in range(0, len(rows), QUERIES):
             some = rows[at : at + QUERIES]
-            q, p, bound = tree.search(points[at : at + QUERIES], sizes[some])
-            fits = roots[some[q]] != roots[rows[p]]
+            q, p, bound = tree.search(points[at : at + QUERIES], sizes[some], roots[some])
             if blocks is not None:
-                fits &= blocks[some[q]] != blocks[rows[p]]
-            q, p, bound = q[fits], p[fits], bound[fits]
+                fits = blocks[some[q]] != blocks[rows[p]]
+                q, p, bound = q[fits], p[fits], bound[fits]
             if firsts is not None:
                 fits = ~met_before(firsts, some[q], rows[p], key)
                 q, p, bound = q[fits], p[fits], bound[fits]
@@ -354,21 +359,44 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
     return by_class(narrowed(docs, wanted, id_column), {"shingles": ("binary", pa.binary(), np.ndarray.tobytes)})
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """``members`` with columns i, j and block. A key with more classes than ``BLOCK`` has them in blocks by a hash of
-    the class, and every row once for each pair (i, j) of blocks that its own is in; other keys are one block."""
+def chained(members: DataFrame) -> DataFrame:
+    """``members`` with columns i, j and block: a key with more classes than ``BLOCK`` has them in blocks by a hash of the
+    class, and every row once for each of the pairs (i, i + 1) that its own is in; other keys are one block, (0, 0)."""
     large = written(members.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > BLOCK), "large")  # a row for BLOCK rows at most
-    blocks = F.coalesce(F.ceil(F.col("many") / BLOCK), F.lit(1)).cast("int")
-    own = F.col("block")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    blocks, own = F.coalesce(F.ceil(F.col("many") / BLOCK), F.lit(1)).cast("int"), F.col("block")
+    firsts = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.greatest(F.lit(0), own - 1), F.least(own, F.col("blocks") - 2)))
     with_block = members.join(large, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    return with_block.withColumn("p", F.explode(pairs)).select(*members.columns, "p.i", "p.j", "block")
+    return with_block.withColumn("i", F.explode(firsts)).select(*members.columns, "i", F.least(F.col("i") + 1, F.col("blocks") - 1).alias("j"), "block")
 
 
-def proposed(members: DataFrame, most: int) -> DataFrame:
+def dealt(members: DataFrame) -> DataFrame:
+    """``members`` with columns i, j and block. A key with more classes than ``BLOCK`` has them in blocks: first those of
+    the components that have few classes there, by a hash of the component, then the others' own. Every row stands once
+    for each pair (i, j) of blocks that its own is in, but pairs of one component's own blocks; other keys are one block."""
+    cells = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    alone = F.col("c") > BLOCK // 2
+    keys = cells.groupBy("key").agg(
+        F.sum("c").alias("many"), F.ceil(F.sum(F.when(alone, 0).otherwise(F.col("c"))) / BLOCK).cast("int").alias("mixed"), F.sum(F.when(alone, F.ceil(F.col("c") / BLOCK)).otherwise(0)).cast("int").alias("pure")
+    )
+    large = written(keys.where(F.col("many") > BLOCK).drop("many"), "large")  # a row for BLOCK rows at most
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("key").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    owned = cells.where(alone).join(large.select("key"), "key").select("key", "root", F.ceil(F.col("c") / BLOCK).cast("int").alias("own"))
+    owners = written(owned.withColumn("before", before), "owners")  # a row for half of BLOCK rows at most
+    placed = members.join(large, "key", "left").join(owners, ["key", "root"], "left").withColumns({"mixed": F.coalesce("mixed", F.lit(1)), "pure": F.coalesce("pure", F.lit(0))})
+    in_own = F.col("mixed") + F.col("before") + F.pmod(F.xxhash64("cid"), F.col("own")).cast("int")
+    in_mixed = F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.col("mixed"))).cast("int")
+    block, last = F.col("block"), F.col("mixed") + F.col("pure") - 1
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    own_first = F.col("mixed") + F.col("before")
+    others = F.when(F.col("own").isNull(), span(F.lit(0), last)).otherwise(F.concat(span(F.lit(0), own_first - 1), span(own_first + F.col("own"), last)))
+    pairs = F.transform(others, lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j")))
+    return placed.withColumn("block", F.when(F.col("own").isNull(), in_mixed).otherwise(in_own)).withColumn("p", F.explode(pairs)).select(*members.columns, "p.i", "p.j", "block")
+
+
+def proposed(members: DataFrame, most: int, chain: bool = False) -> DataFrame:
     """(key, a, b, more): candidates under every key of ``members`` (key, cid, root, n, vector, firsts), and whether the
     key has more than these. Two classes whose ``firsts`` have a lesser key in common are left to that key. A task holds
-    the points of one pair of a key's blocks, never pairs of classes."""
+    the points of one pair of a key's blocks, never pairs of classes. ``chain``: of a key's blocks, only neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -378,7 +406,8 @@ def proposed(members: DataFrame, most: int) -> DataFrame:
             (key, i, j), firsts = group, np.full((len(ids), FIRST_KEYS), np.iinfo(np.int64).max)
             for row, some in zip(firsts, lists, strict=True):
                 row[: len(some)] = some
-            pairs, more = proposals(np.array(ids), np.array(roots), np.array(sizes), list(map(vector_of, vectors, sizes)), most, key, firsts, np.array(own) if i < j else None)
+            across = np.array(own) if i < j and not chain else None
+            pairs, more = proposals(np.array(ids), np.array(roots), np.array(sizes), list(map(vector_of, vectors, sizes)), most, key, firsts, across)
             rows = [(key, a, b, more) for a, b in sorted(pairs)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "a", "b", "more"])
@@ -393,7 +422,7 @@ def proposed(members: DataFrame, most: int) -> DataFrame:
         if len(held) > 1:
             yield from give()
 
-    rows = dealt(members).select("key", "i", "j", "cid", "root", "n", "vector", "firsts", "block")
+    rows = (chained if chain else dealt)(members).select("key", "i", "j", "cid", "root", "n", "vector", "firsts", "block")
     return map_batches(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid"), run, "key long, a long, b long, more boolean")
 
 
@@ -426,7 +455,7 @@ def class_links(shared: DataFrame, points: DataFrame, classes: DataFrame, docs:
         return points.join(lists, "cid")
 
     members = first.where("k <= 2").select("key", "cid").join(carrying(2), "cid").withColumn("root", F.col("cid"))
-    few = written(proposed(members, 2).select("a", "b").distinct(), "pairs")  # most classes end in their components here
+    few = written(proposed(members, 2, chain=True).select("a", "b").distinct(), "pairs")  # most classes end in their components here
     links, checked = written(verified(few, classes, docs, id_column), "links"), few
     roots = written(components(links), "roots")
     most, left, vectors = 8, shared, written(carrying(FIRST_KEYS), "vectors")
