@@ -5,9 +5,9 @@ on to the next such place and over it by as many words as a phrase can reach; so
 they stand. Equal chunks are one row of a dictionary with their frequency in the parse. Phrases are counted in the
 dictionary alone, times that frequency, and only where they begin before the overlap, which is the next chunk's.
 
-Words are counted first, then pairs of words that are frequent, then longer phrases all of whose pairs are: a phrase is no
-more frequent than its parts. What is frequent is told in tasks by a table of bits of fixed size, which may let more
-through, never less; the counts themselves are of the words, not of hashes.
+Words are counted first, then hashes of pairs of frequent words, then phrases all of whose pairs' hashes are frequent: a
+phrase is no more frequent than its parts, and a hash no less than what it stands for. What is frequent is told in tasks by a
+table of bits of fixed size, which may let more through, never less; the counts that are given are of words, not of hashes.
 """
 
 from __future__ import annotations
@@ -111,12 +111,11 @@ class Stream:
         return word_hashes(self.langs.to_pylist(), self.words.to_pylist())
 
     def phrases(self, starts: np.ndarray, k: int, counts: np.ndarray) -> pa.RecordBatch:
-        """(lang, k, phrase, f) of the phrases of k words that begin at ``starts``."""
-        first = self.word[starts]
+        """(lang, phrase, f) of the phrases of k words that begin at ``starts``."""
         parts = [self.words.take(pa.array(self.word[starts + j])) for j in range(k)]
         joined = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if k > 1 else parts[0]
-        columns = [self.langs.take(pa.array(first)), pa.array(np.full(len(starts), k, np.int32)), joined.cast(pa.string()), pa.array(counts.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])
+        columns = [self.langs.take(pa.array(self.word[starts])), joined.cast(pa.string()), pa.array(counts.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
 
 
 def word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
@@ -136,28 +135,27 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def bit_table(phrases: DataFrame) -> np.ndarray:
-    """2 ** BITS bits, those of the hashes of ``phrases`` (lang, phrase), of one or two words, set."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        langs, words = batch.column(0).to_pylist(), [p.split(" ") for p in batch.column(1).to_pylist()]
-        hashes = word_hashes(langs, [w[0] for w in words])
-        two = np.array([len(w) > 1 for w in words])
-        if two.any():
-            hashes = np.where(two, pair_hash(hashes, word_hashes(langs, [w[-1] for w in words])), hashes)
-        places = np.unique((hashes >> np.uint64(64 - BITS)).astype(np.int64))
-        slots, first = np.unique(places >> 6, return_index=True)
-        bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (places & 63).astype(np.uint64)), first)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(bits.view(np.int64))], names=["slot", "bits"])
-
-    found = by_batch(phrases.select("lang", "phrase"), run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2 ** (BITS - 6) rows at most
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """2 ** BITS bits, those of the first bits of ``hashes`` (h) set."""
+    place = F.shiftrightunsigned("h", 64 - BITS)
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    found = hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2 ** (BITS - 6) rows at most
     out = np.zeros(1 << BITS - 6, np.int64)
     out[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def counted(chunks: DataFrame, count, least: int) -> DataFrame:
-    """(lang, k, phrase, f) of what ``count`` gives of the dictionary's streams, summed, with ``least`` at least."""
+def hashed(words: DataFrame) -> DataFrame:
+    """(h) of ``words`` (lang, phrase)."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(word_hashes(*(c.to_pylist() for c in batch.columns)).view(np.int64))], names=["h"])
+
+    return by_batch(words.select("lang", "phrase"), run, "h long")
+
+
+def counted(chunks: DataFrame, count, least: int, keys: str = "lang string, phrase string") -> DataFrame:
+    """(``keys``, f) of what ``count`` gives of the dictionary's streams, summed, with ``least`` at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -171,8 +169,8 @@ def counted(chunks: DataFrame, count, least: int) -> DataFrame:
         if held:
             yield from count(Stream(pa.Table.from_batches(held)))
 
-    found = map_batches(chunks, run, "lang string, k int, phrase string, f long")
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = map_batches(chunks, run, f"{keys}, f long")
+    return found.groupBy(*(k.split()[0] for k in keys.split(", "))).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def words_in(stream: Stream) -> Iterator[pa.RecordBatch]:
@@ -196,17 +194,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     chunks = written(found.select("lang", "own", "chunk", "many"), "chunks")
     every = written(counted(chunks, words_in, 1), "words")
     words = every.where(F.col("f") >= least)
-    known = context.broadcast(bit_table(words))
+    known = context.broadcast(bit_table(hashed(words)))
 
     def pairs_in(stream: Stream) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(pairs_at(stream, known.value) & stream.own)
-        first, sums, _ = summed(stream.word[at] << 32 | stream.word[at + 1], stream.weight[at])
-        yield stream.phrases(at[first], 2, sums)
+        at, hashes = np.flatnonzero(pairs_at(stream, known.value) & stream.own), stream.hashes()
+        pairs = pair_hash(hashes[stream.word[at]], hashes[stream.word[at + 1]])
+        first, sums, _ = summed(pairs, stream.weight[at])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[first].view(np.int64)), pa.array(sums.astype(np.int64))], names=["h", "f"])
 
-    pairs = written(counted(chunks, pairs_in, least), "pairs") if longest > 1 else words.limit(0)
-    known_pairs = context.broadcast(bit_table(pairs))
+    known_pairs = context.broadcast(bit_table(counted(chunks, pairs_in, least, "h long")))
 
-    def longer_in(stream: Stream) -> Iterator[pa.RecordBatch]:
+    def phrases_in(stream: Stream) -> Iterator[pa.RecordBatch]:
         hashes = stream.hashes()
         at = np.flatnonzero(pairs_at(stream, known.value))
         pair = np.zeros(len(stream.word) + longest, bool)
@@ -216,13 +214,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         for k in range(2, longest + 1):
             number = number << 32 | stream.word[at + k - 1]
             first, sums, number = summed(number, stream.weight[at])
-            if k > 2:
-                yield stream.phrases(at[first], k, sums)
+            yield stream.phrases(at[first], k, sums)
             on = pair[at + k - 1]
             at, number = at[on], number[on]
 
-    longer = written(counted(chunks, longer_in, least), "phrases") if longest > 2 else words.limit(0)
-    return words.unionByName(pairs).unionByName(longer), every.groupBy("lang").agg(F.sum("f").alias("n"))
+    phrases = written(counted(chunks, phrases_in, least), "phrases") if longest > 1 else words.limit(0)
+    with_size = words.unionByName(phrases).select("lang", F.size(F.split("phrase", " ", -1)).alias("k"), "phrase", "f")
+    return with_size, every.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST, percent: int = PERCENT, period: int = PERIOD) -> DataFrame:

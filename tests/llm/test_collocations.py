@@ -86,11 +86,14 @@ def test_equal_passages_have_equal_chunks(spark):
     assert shared > 120
 
 
-def test_bits_let_every_frequent_phrase_through(spark):
-    rows = [("en", f"w{k}") for k in range(3000)] + [("de", f"w{k} v{k}") for k in range(2000)]
-    bits = collocations.bit_table(spark.createDataFrame(rows, "lang string, phrase string"))
-    one = collocations.word_hashes(["en"] * 3000, [f"w{k}" for k in range(3000)])
-    two = collocations.pair_hash(*(collocations.word_hashes(["de"] * 2000, [f"{c}{k}" for k in range(2000)]) for c in "wv"))
-    assert collocations.marked(bits, one).all() and collocations.marked(bits, two).all()
-    others = collocations.word_hashes(["fr"] * 3000, [f"w{k}" for k in range(3000)])
-    assert collocations.marked(bits, others).mean() < 0.01 and len(bits) == 1 << collocations.BITS - 3 and np.unpackbits(bits).sum() <= 5000
+def test_bits_let_every_frequent_hash_through(spark):
+    langs, words = ["en"] * 3000 + ["de"] * 2000, [f"w{k}" for k in range(3000)] + [f"v{k}" for k in range(2000)]
+    own = collocations.word_hashes(langs, words)
+    table = collocations.hashed(spark.createDataFrame(list(zip(langs, words, strict=True)), "lang string, phrase string"))
+    assert sorted(r.h for r in table.collect()) == sorted(own.view(np.int64).tolist())
+    bits = collocations.bit_table(table)
+    assert collocations.marked(bits, own).all() and len(bits) == 1 << collocations.BITS - 3 and 4900 < np.unpackbits(bits).sum() <= 5000
+    assert collocations.marked(bits, collocations.word_hashes(["fr"] * 3000, words[:3000])).mean() < 0.01
+    assert collocations.marked(bits, np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64)).sum() == 0
+    ends = collocations.bit_table(spark.createDataFrame([(0,), (-1,), (-(1 << 63),)], "h long"))
+    assert collocations.marked(ends, np.array([0, (1 << 64) - 1, 1 << 63], np.uint64)).all()
