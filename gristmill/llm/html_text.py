@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import by_batch, map_batches, written
 from gristmill.llm.url_filter import host_and_path
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile("[>\"']")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKENS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
@@ -47,6 +48,10 @@ OUTSIDE_NAME = re.compile(
     r"(?:[_-](?:box|bar|area|list|links?|posts?|articles?|buttons?|icons?|container|wrapper|wrap|block|unit|slot|inner|section|\d+))*",
     re.I,
 )
+#: Of these, what an article's own sections are named as well: there they say it only of what holds no paragraph.
+WEAK_NAME = re.compile(r"(?:\w+[_-])?(?:alerts?|notices?|share|sharing|social|search|skip|toc|related|recommended|recommendations|widgets?|toolbar|promo(?:tion)?s?|banner|dialog|copyright)(?:[_-]\w+)*", re.I)
+#: Words of a paragraph; letters that say so where names would leave out most of a page; code points of a byline, items of a thread.
+PARAGRAPH, SAYS, BYLINE, POSTS = 25, 150, 60, 3
 MAIN = ("article", "main")
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|articlebody|post(?:-?(?:body|content))?|entry(?:-content)?|content|story|main|main-content|body-content|text)(?=$|[\s_-])", re.I)
 #: Elements that hold text, not regions.
@@ -69,6 +74,7 @@ SPACE = re.compile(r"\s+")
 DEEPEST, DEEPER = 150, 20
 #: Elements whose names don't tell.
 NEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend caption".split())
 HIDDEN_MARK, OUTSIDE_MARK = "\0", "\3"
 NUMBERS = re.compile(r"\d+")
 
@@ -93,83 +99,203 @@ class Node:
         return "name" if self.tokens and self.tag not in NEVER and any(map(OUTSIDE_NAME.fullmatch, self.tokens)) else ""
 
 
+def tokens_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, rest) of each tag in order, the tag empty for comments and declarations. A quote that
+    is never closed ends with the tag, at the next ``>``; where one scan of quotes has come to nothing, none begins again, so
+    that a page costs its length."""
+    last, failed, pos = page.rfind(">"), set(), 0
+
+    def closing(at: int) -> int:
+        first, seen = at, []
+        while at <= last:
+            stop = STOP.search(page, at).start()
+            if page[stop] == ">":
+                return stop
+            if stop in failed:
+                break
+            seen.append(stop)
+            at = page.find(page[stop], stop + 1) + 1
+            if not at:
+                break
+        failed.update(seen)
+        return page.find(">", first) if first <= last else -1
+
+    while (at := page.find("<", pos)) >= 0:
+        slash = tag = rest = ""
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark = "-->" if page[at + 2] == "-" else "]]>"
+            end = page.find(mark, at + (4 if mark == "-->" else 9))
+            end = end + 3 if end >= 0 else len(page)
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1 if at <= last else 0
+        elif m := TAG.match(page, at):
+            end = closing(m.end()) + 1
+            slash, tag, rest = m[1], m[2].lower(), page[m.end() : end - 1] if end else ""
+        else:
+            end = 0
+        if not end:  # no tag: text
+            pos = at + 1
+            continue
+        pos = (yield at, end, slash, tag, rest) or end  # the caller may send where to go on
+
+
 def parse(page: str) -> Node:
     """The token stream as a tree. Inline tags leave only their text; ends that are missing are implied, stray ones dropped."""
     root = Node("#root")
-    stack, levels, opened, at = [root], [0], Counter(), 0
-
-    def close(k: int) -> None:
-        opened.subtract(n.tag for n in stack[k:])
-        if stack[k].children is stack[k - 1].children:
-            stack[k].children.append(Node("hr"))
-        del stack[k:], levels[k:]
-
-    def text(part: str) -> None:
-        if part:
-            kids = stack[-1].children
+    stack, levels, stops, opened, at = [root], [0], [0], Counter(), 0
+    held: list[str] = []
+    doubtful: list[Node] = []
+
+    def flush() -> None:
+        if held:
+            kids, part = stack[-1].children, "".join(held)
+            held.clear()
             if kids and isinstance(kids[-1], str):
                 kids[-1] += part
             else:
                 kids.append(part)
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        slash, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
+    def close(k: int) -> None:
+        flush()
+        opened.subtract(n.tag for n in stack[k:])
+        if stack[k].children is stack[k - 1].children:
+            stack[k].children.append(Node("hr"))
+        del stack[k:], levels[k:], stops[k:]
+
+    found = tokens_of(page)
+    token = next(found, None)
+    while token:
+        start, end, slash, tag, rest = token
+        if start > at:
+            held.append(page[at:start])
+        at, go = end, None
         if not tag:
-            continue
-        tag = tag.lower()
-        if tag in RAW:
+            pass
+        elif tag in RAW:
             if not slash and not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = go = over.end() if over else len(page)
+                flush()
                 stack[-1].children.append(Node(tag))
-            continue
-        if tag == "br":
-            text(" ")
-            continue
-        if tag in INLINE or tag in VOID and tag != "hr":
+        elif tag == "br":
+            held.append(" ")
+        elif tag in INLINE or tag in VOID and tag != "hr":
             if tag == "a":
-                text("\2" if slash else "\1")  # marks of link text, taken out again
-            continue
-        if slash:
+                held.append("\2" if slash else "\1")  # marks of link text, taken out again
+        elif slash:
             for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
                 if stack[k].tag in SCOPE and tag not in SCOPE:
                     break
-            continue
-        for k in range(len(stack) - 1, 0, -1):
-            if tag in ENDS.get(stack[k].tag, ()):
-                close(k)
-                break
-            if stack[k].tag in SCOPE:
-                break
-        names = NUMBERS.sub("0", " ".join(a or b or c for a, b, c in NAMES.findall(rest)).strip()) if rest else ""
-        tokens = [t for name, a, b, c in TOKENS.findall(rest) if name.lower() != "id" or tag == "div" for t in (a or b or c).split()] if names else []
-        node = Node(tag, names, tuple(tokens))
-        if rest and HIDDEN.search(rest):
-            node.names += HIDDEN_MARK
-        if node.outside == "name":
-            node.names += OUTSIDE_MARK
-        stack[-1].children.append(node)
-        if tag != "hr" and not rest.endswith("/"):
-            level = levels[-1] + 1
-            if level >= DEEPEST and not (level < DEEPEST + DEEPER and (node.outside or tag in MAIN)):
-                node, level = Node(tag, names), levels[-1]  # what it holds is its ancestor's, but blocks stay apart
-                node.children = stack[-1].children
-            stack.append(node)
-            levels.append(level)
-            opened[tag] += 1
+        else:
+            k = stops[-1]
+            while k > 0:
+                if tag in ENDS.get(stack[k].tag, ()):
+                    close(k)
+                    break
+                if stack[k].tag in SCOPE:
+                    break
+                k = stops[k - 1]
+            flush()
+            names = NUMBERS.sub("0", " ".join(a or b or c for a, b, c in NAMES.findall(rest)).strip()) if rest else ""
+            tokens = [t for name, a, b, c in TOKENS.findall(rest) if name.lower() != "id" or tag == "div" for t in (a or b or c).split()] if names else []
+            node = Node(tag, names, tuple(tokens))
+            if rest and HIDDEN.search(rest):
+                node.names += HIDDEN_MARK
+            if node.outside == "name":
+                if opened["article"] > 0 and all(map(WEAK_NAME.fullmatch, filter(OUTSIDE_NAME.fullmatch, tokens))):
+                    doubtful.append(node)
+                else:
+                    node.names += OUTSIDE_MARK
+            stack[-1].children.append(node)
+            if tag != "hr" and not rest.endswith("/"):
+                level = levels[-1] + 1
+                if level >= DEEPEST and not (level < DEEPEST + DEEPER and (node.outside or tag in MAIN)):
+                    node, level = Node(tag, names), levels[-1]  # what it holds is its ancestor's, but blocks stay apart
+                    node.children = stack[-1].children
+                stack.append(node)
+                levels.append(level)
+                stops.append(len(stack) - 1 if tag in SCOPE or tag in ENDS else stops[-1])
+                opened[tag] += 1
+        try:
+            token = found.send(go)
+        except StopIteration:
+            token = None
     if at < len(page):
-        text(page[at:])
+        held.append(page[at:])
+    flush()
+    for node in doubtful:
+        if not has_paragraph(node):
+            node.names += OUTSIDE_MARK
+    mark_threads(root)
     return root
 
 
+def has_paragraph(node: Node) -> bool:
+    """Whether a text below has ``PARAGRAPH`` words at least, most of its letters outside links."""
+    for child in node.children:
+        if isinstance(child, str):
+            linked = sum(len(part.partition("\2")[0]) for part in child.split("\1")[1:])
+            if 2 * linked < len(child) and len(child.split()) >= PARAGRAPH:
+                return True
+        elif not left_out(child.key) and has_paragraph(child):
+            return True
+    return False
+
+
+def is_thread(items: list[Node]) -> bool:
+    """Whether siblings of one key are readers' posts: each has several blocks and no heading, is signed by a short one
+    at its beginning or end, and either all these have a number, as dates do, or some short block is the same in all."""
+    first: list[str] = []
+    numbered, shared = True, None
+    for item in items:
+        if any(n.tag in HEADINGS for n in below(item)):
+            return False
+        texts = list(blocks(item, True))
+        if len(texts) < 2 or max(map(len, texts)) <= min(len(texts[0]), len(texts[-1])):
+            return False
+        signs = [t for t in (texts[0], texts[-1]) if len(t) <= BYLINE and t[-1] not in ".!?:;…"]
+        short = {t for t in texts if len(t) <= BYLINE // 2 and t[-1] not in ".!?:;…"}
+        numbered = numbered and any(any(map(str.isdigit, t)) for t in signs)
+        shared = short if shared is None else shared & short
+        if not signs or not numbered and not shared:
+            return False
+        first.append(max(texts, key=len))
+    return len(set(first)) > len(first) // 2
+
+
+def below(node: Node) -> Iterator[Node]:
+    for child in node.children:
+        if not isinstance(child, str):
+            yield child
+            yield from below(child)
+
+
+def mark_threads(node: Node) -> None:
+    """Marks runs of readers' posts as outside of the article, and headings right before them."""
+    some = [c for c in node.children if not isinstance(c, str) or c.strip()]
+    at = 0
+    while at < len(some):
+        to = at + 1
+        if isinstance(some[at], str):
+            at = to
+            continue
+        while to < len(some) and not isinstance(some[to], str) and some[to].key == some[at].key:
+            to += 1
+        if to - at >= POSTS and some[at].tag in ("div", "li", "article", "section", "blockquote", "dd") and not left_out(some[at].key) and is_thread(some[at:to]):
+            for item in some[at:to]:
+                item.names += OUTSIDE_MARK
+            while at and not isinstance(some[at - 1], str) and some[at - 1].tag in HEADINGS:
+                at -= 1
+                some[at].names += OUTSIDE_MARK
+        else:
+            for item in some[at:to]:
+                mark_threads(item)
+        at = to
+
+
 def clean(text: str) -> str:
     """Character references decoded once, white space as one blank, trimmed."""
     return SPACE.sub(" ", html.unescape(text.replace("\1", "").replace("\2", ""))).strip()
@@ -321,16 +447,43 @@ def main_region(wrapper: list) -> dict:
     """Where the wrapper's main text is: ``path``, keys from the top; ``names``, whether classes and ids tell what is
     outside; ``fixed``, (path below, digest) of the template's own texts there.
 
-    The slots' letters weigh, or all letters where no text differs, as on one page. A single region that says it is the
-    article, or the main one, is taken where it has a tenth of the weight at least; else, from the top, the child that
-    has two thirds of it, while there is one, with names that say so before others. Names don't tell where they would
-    leave out nine tenths of the letters. Fixed texts are those outside a region that says what it is.
+    An article element that a page has once is taken whatever its share. Else the slots' letters weigh, what pages don't
+    share; but where these make no region of like kind with the heaviest one of all letters, as a teaser beside an article
+    that all pages have, all letters weigh, as on one page. Names don't tell where they would leave out nine tenths of the
+    letters and what they leave is no paragraph. Fixed texts are those outside a region that says what it is.
     """
-    some = lambda names, constants: weight(wrapper, names, constants)
-    names = 10 * some(True, True) >= some(False, True)
-    constants = not some(names, False)
+    some = lambda names: weight(wrapper, names, True)
+    names = 10 * some(True) >= some(False) or some(True) >= SAYS * wrapper[6]
+    kind, path, every = region_of(wrapper, names, True)
+    if not weight(wrapper, names, False):
+        return {"path": path, "names": names, "fixed": []}
+    own_kind, own_path, own = region_of(wrapper, names, False)
+    if own_kind:
+        return {"path": own_path, "names": names, "fixed": []}
+    slots, heaviest = weight(own, names, False), weight(every, names, True)
+    if kind or 8 * slots < heaviest or 2 * slots < heaviest and not several(own, names):
+        return {"path": path, "names": names, "fixed": []}
+    return {"path": own_path, "names": names, "fixed": fixed(own)}
+
+
+def several(e: list, names: bool) -> bool:
+    """Whether a page has several slots below ``e``."""
+
+    def slots(e: list) -> int:
+        if left_out(e[0], names) or e[3] is not None and e[6] > 1:
+            return 0
+        own = 1 if e[0] == "#" else sum(map(slots, e[2]))
+        return 2 * own if "+" in e[1] else own
+
+    return slots(e) > 1
+
+
+def region_of(wrapper: list, names: bool, constants: bool) -> tuple[int, list[str], list]:
+    """(kind, path, element) of the region: a single element that says it is the article (2), whatever its share, or the
+    main one (1), or several alike, with a tenth of the weight; else (0), from the top, the child that has two thirds of
+    it, while there is one, with names that say so before others."""
     heavy = lambda e: weight(e, names, constants)
-    total, found = heavy(wrapper), []
+    found: list[tuple[int, bool, list[str], list]] = []
 
     def look(e: list, path: list[str], repeated: bool) -> None:
         for k in e[2]:
@@ -343,22 +496,28 @@ def main_region(wrapper: list) -> dict:
             look(k, below, again)
 
     look(wrapper, [], False)
+    everything = weight(wrapper, names, True)
+    single = [(heavy(k), weight(k, names, True), path, k) for known, again, path, k in found if known == 2 and not again]
+    if single:
+        _, letters, path, e = max(single, key=lambda o: o[:2])
+        if letters:
+            return 2, path, e
     for kind, share in ((2, 10), (1, 10), (0, 2)):  # article, main, names
-        own = [(heavy(k), path, k) for known, again, path, k in found if known == kind and k[4] and (not again or kind)]
+        own = [(weight(k, names, True) if kind else heavy(k), path, k) for known, again, path, k in found if known == kind and (not again or kind)]
         if own:
             most, path, e = max(own, key=lambda o: o[0])
-            if share * most >= total:
-                return {"path": path, "names": names, "fixed": [] if kind else fixed(e, constants)}
+            if most and share * most >= (everything if kind else heavy(wrapper)):
+                return kind, path, e
     path, here = [], wrapper
     while True:
         kids = [k for k in here[2] if k[0] != "#" and not left_out(k[0], names)]
         top = max(kids, key=heavy, default=None)
         if top is None or top[0].partition(".")[0] in TEXT_TAGS or 3 * heavy(top) < 2 * heavy(here) or not heavy(top) or "+" in top[1]:
-            return {"path": path, "names": names, "fixed": fixed(here, constants)}
+            return 0, path, here
         path, here = path if top[0][0] == "(" else [*path, top[0]], top
 
 
-def fixed(e: list, constants: bool) -> list[list[str]]:
+def fixed(e: list) -> list[list[str]]:
     """(path, digest) of the texts below ``e`` that all its pages have alike, three at least."""
     out: list[list[str]] = []
 
@@ -370,7 +529,7 @@ def fixed(e: list, constants: bool) -> list[list[str]]:
                 walk(k, path if k[0][0] == "(" else f"{path}{GAP}{k[0]}")
 
     pages = e[6]
-    if not constants and pages >= FIXED_PAGES:
+    if pages >= FIXED_PAGES:
         walk(e, "")
     return out
 
