@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import by_batch, map_batches, written
 from gristmill.llm.url_filter import host_and_path
 
+#: A tag's beginning, and one without quotes, or with closed ones that hold no ``<``, as nearly all are.
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^<\"]*\"|'[^<']*')*+)>")
 STOP = re.compile("[>\"']")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKENS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -100,7 +102,8 @@ class Node:
 
 
 def tokens_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, slash, tag, rest) of each tag in order, the tag empty for comments and declarations. A quote that
+    """(start, end, slash, tag, rest) of each tag in order, the tag empty for comments and declarations; the caller may
+    send the place from which to go on. A quote that
     is never closed ends with the tag, at the next ``>``; where one scan of quotes has come to nothing, none begins again, so
     that a page costs its length."""
     last, failed, pos = page.rfind(">"), set(), 0
@@ -122,6 +125,9 @@ def tokens_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
 
     while (at := page.find("<", pos)) >= 0:
         slash = tag = rest = ""
+        if m := PLAIN_TAG.match(page, at):
+            pos = (yield at, m.end(), m[1], m[2].lower(), m[3]) or m.end()
+            continue
         if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
             mark = "-->" if page[at + 2] == "-" else "]]>"
             end = page.find(mark, at + (4 if mark == "-->" else 9))
@@ -136,7 +142,7 @@ def tokens_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
         if not end:  # no tag: text
             pos = at + 1
             continue
-        pos = (yield at, end, slash, tag, rest) or end  # the caller may send where to go on
+        pos = (yield at, end, slash, tag, rest) or end
 
 
 def parse(page: str) -> Node:
