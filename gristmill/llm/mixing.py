@@ -2,8 +2,8 @@
 
 Capped water-filling over the sources' table; then whole repetitions of every document, and for the fractional one a
 seeded order: documents fall into hash bins, bins below the source's cut are taken whole, the bin at the cut gives the
-rest in equal shares. No document is drawn at random after that, so that a source's words meet its target to rounding,
-and no task needs the documents of a source together.
+rest in equal shares, rounded by a hash of each row, and rows alike together, so that a source's words meet its target to
+rounding. No task needs the documents of a source together.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from gristmill.llm.common import WORD, text_of, written
 BINS = 256
 #: Hex digits of the bins that the bin at a cut is dealt into.
 FINE_DIGITS = 4
+#: Rows alike that one row stands for when they are made again.
+ALIKE = 65_536
 #: Columns of the result; those of the input that have these names give way.
 ADDED = ("size", "source_size", "target", "taken")
 
@@ -35,22 +37,17 @@ def water_fill(sizes: DataFrame, most_epochs: int = 3, total: int | None = None)
     """Targets for ``sizes`` (source, size, weight): shares of ``total`` (all sizes) by weight, none above
     ``most_epochs`` times its size; what a clamped source can't take is dealt again by weight until none is above.
 
-    One aggregate row comes to the driver in each round, and each round clamps a source at least.
+    In the order of the level at which a source is full, those before the first that isn't are clamped; that one row comes
+    to the driver. Sources of size 0 have target 0.
     """
-    base = sizes.where("size > 0")
-    everything = F.sum("size").alias("total")
-    total = base.agg(everything).first()["total"] or 0 if total is None else total
-    level = 0.0
-    while True:
-        cap, clamped = F.col("size") * most_epochs, F.col("weight") * F.lit(level) >= F.col("size") * most_epochs
-        now = base.agg(F.sum(F.when(clamped, cap).otherwise(0)).alias("held"), F.sum(F.when(clamped, 0).otherwise(F.col("weight"))).alias("free")).first()
-        if not now["free"] or (total - now["held"]) / now["free"] <= level:
-            break
-        level, left, free = (total - now["held"]) / now["free"], total - now["held"], now["free"]
-    if not level:
-        return sizes.select("source", "size", "weight", F.lit(0.0).alias("target"))
-    share = F.col("weight").cast("double") * F.lit(float(left)) / F.lit(float(free))
-    return sizes.select("source", "size", "weight", F.least(share, (F.col("size") * most_epochs).cast("double")).alias("target"))
+    order = Window.orderBy(F.lit(float(most_epochs)) * F.col("size") / F.col("weight"), F.col("source").asc_nulls_last())  # a row a source
+    cap = F.col("size") * most_epochs
+    before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if total is None else F.lit(total)
+    filled = sizes.where("size > 0").select("weight", cap.alias("cap"), F.row_number().over(order).alias("k"), (whole - F.coalesce(F.sum(cap).over(before), F.lit(0))).alias("rest"), F.sum("weight").over(on).alias("free"))
+    level = filled.where(F.col("rest").cast("double") / F.col("free") * F.col("weight") < F.col("cap")).agg(F.min(F.struct("k", "rest", "free")).alias("l")).select("l.*").first()
+    share = F.col("weight").cast("double") * F.lit(float(level["rest"])) / F.lit(float(level["free"])) if level["k"] else F.lit(float("inf"))
+    return sizes.select("source", "size", "weight", F.when(F.col("size") > 0, F.least(share, cap.cast("double"))).otherwise(0.0).alias("target"))
 
 
 def planned(docs: DataFrame, weights: Sequence[int], most_epochs: int, seed: str, id_column: str) -> tuple[DataFrame, DataFrame]:
@@ -82,18 +79,31 @@ def mix(
     """``docs`` with size, source_size, target and taken added, a row for each row of the input.
 
     Sources by code point, null last, weigh ``weights`` in turn. An empty text or a source without words has size 0 and
-    takes nothing. ``taken`` is whole repetitions times size, plus what the fractional one takes. Repeated rows fall
-    into one bin and count each by itself. An empty table gives an empty result.
+    takes nothing. ``taken`` is whole repetitions times size, plus what the fractional one takes: of the bin at a source's
+    cut each row has the same share, rounded by a hash of the whole row; rows alike are rounded together, some of them a
+    word higher, so that their sum is right however many they are. An empty table gives an empty result.
     """
     docs = docs.drop(*ADDED)
     sized, plan = planned(docs, weights, most_epochs, seed, id_column)
-    part = F.floor(F.col("_mix_share") * F.col("size") + hex_number(seed, F.col(id_column), 3, 6) / F.lit(float(16**6))).cast("long")
-    taken = F.col("_mix_whole") * F.col("size") + F.least(F.col("size"), part)
-    return (
-        sized.join(plan, F.expr("source <=> _mix_plan_source AND _mix_bin = _mix_plan_bin"), "left")
-        .withColumn("taken", taken)
-        .select(*docs.columns, *ADDED)
-    )
+    in_cut = "_mix_share > 0 AND _mix_share < 1"
+    here = F.expr("source <=> _mix_plan_source AND _mix_bin = _mix_plan_bin")
+    whole = F.col("_mix_whole") * F.col("size")
+    plain = sized.join(plan, here, "left").where(f"NOT coalesce({in_cut}, false)")
+    plain = plain.withColumn("taken", whole + F.when(F.col("_mix_share") >= 1, F.col("size")).otherwise(0))
+    # a bin a source: rows alike are one row with their number here
+    at_cut = docs.withColumn("_mix_bin", hex_number(seed, F.col(id_column), 1, 2)).join(plan.where(in_cut), here)
+    alike = at_cut.groupBy(*(f"`{c}`" for c in docs.columns), "source_size", "target", "_mix_whole", "_mix_share").agg(F.count("*").alias("_mix_n")).withColumn("size", word_count(text_of()))
+    rest = [c for c in docs.columns if c not in (id_column, "source", "text")]
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest))) if rest else F.lit("{}")
+    row = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"), text_of(), F.lit(":"), others)
+    sum_ = F.floor(F.col("_mix_n") * (F.col("_mix_share") * F.col("size")) + hex_number(f"{seed}:part", row, 1, 6) / F.lit(float(16**6))).cast("long")
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_n") - 1) / ALIKE))
+    dealt = alike.withColumns({"_mix_sum": F.least(F.col("_mix_n") * F.col("size"), sum_), "_mix_block": F.explode(blocks)}).repartition("_mix_block", F.xxhash64(row))
+    numbers = F.sequence(F.col("_mix_block") * ALIKE + 1, F.least(F.col("_mix_n"), (F.col("_mix_block") + 1) * ALIKE))
+    each = dealt.withColumn("_mix_k", F.explode(numbers))
+    more = F.when(F.col("_mix_k") <= F.col("_mix_sum") % F.col("_mix_n"), 1).otherwise(0)
+    each = each.withColumn("taken", whole + F.floor(F.col("_mix_sum") / F.col("_mix_n")).cast("long") + more)
+    return plain.select(*docs.columns, *ADDED).unionByName(each.select(*docs.columns, *ADDED))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -163,8 +173,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-e AS (SELECT *, ('0x' || substr(h, 1, 2))::BIGINT AS bin, ('0x' || substr(h, 3, 6))::BIGINT AS u FROM d),
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h, md5('mix:part:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '') || ':{}') AS g,
+         count(*) OVER same AS alike, row_number() OVER same AS number FROM documents WINDOW same AS (PARTITION BY doc_id, source, text)),
+e AS (SELECT *, ('0x' || substr(h, 1, 2))::BIGINT AS bin, ('0x' || substr(g, 1, 6))::BIGINT AS u FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS size FROM e GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * size / weight, source NULLS LAST) AS k FROM w WHERE size > 0),
@@ -177,8 +188,8 @@ b AS (SELECT source, bin, sum(size)::BIGINT AS words FROM e GROUP BY source, bin
 f AS (SELECT source, bin, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b),
 p AS (SELECT f.source, f.bin, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, words, before
       FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CASE WHEN words > 0 THEN least(1.0, greatest(0.0, (target - whole * source_size - before) / words)) ELSE 0.0 END AS share FROM p)
-SELECT doc_id, size, source_size, target,
-       (whole * size + least(size, floor(share * size + u / 16777216.0)::BIGINT))::BIGINT AS taken
-FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source AND e.bin = q.bin
+q AS (SELECT *, CASE WHEN words > 0 THEN least(1.0, greatest(0.0, (target - whole * source_size - before) / words)) ELSE 0.0 END AS share FROM p),
+r AS (SELECT doc_id, size, source_size, target, whole, alike, number, least(alike * size, floor(alike * (share * size) + u / 16777216.0)::BIGINT) AS part
+      FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source AND e.bin = q.bin)
+SELECT doc_id, size, source_size, target, (whole * size + part // alike + CASE WHEN number <= part % alike THEN 1 ELSE 0 END)::BIGINT AS taken FROM r
 """
