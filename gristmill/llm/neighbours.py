@@ -5,10 +5,12 @@ wide ones leave two a direction. A query visits its bucket and perturbed ones in
 the chance that a neighbour at the sample's nearness falls there. How many functions and tables there are, and which
 success ends a query's probes, is what compares the fewest rows on a sample at the recall asked for.
 
-Buckets are dealt into groups of neighbouring numbers, groups with many rows into parts, and those with many queries into
-slices, so that a hot bucket is many tasks' work. A task compares a bucket's rows with the queries that visit it alone,
-and gives each query its best, which are merged over tables and groups and have exact scores. Queries that find fewer
-than they ask for visit all buckets. Equal vectors are indexed once, with the least ids they need.
+Buckets are dealt into groups of neighbouring numbers and groups with many rows into parts, so that a hot bucket is many
+tasks' work; queries are dealt into slices, and a slice's parts into ``BATCHES`` at most. A batch has its slice's query
+vectors once, for all its parts, and each query's bucket numbers beside them; then the parts' rows stream by, one part in
+memory at a time. A bucket's rows are compared with the queries that visit it alone, and each query's best are merged over
+all parts and have exact scores. Queries that find fewer than they ask for visit all buckets. Equal vectors are indexed
+once, with the least ids they need.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import by_batch, written
+from gristmill.llm.common import by_batch, map_batches, written
 
-#: Rows of a part and queries of a slice of a group of buckets, about; rows and queries that the fit samples at most.
-PART_ROWS, SLICE_QUERIES = 16_384, 32_768
+#: Rows of a part of a group of buckets and queries of a slice, about; batches of a slice at most, each of which has the
+#: slice's query vectors; rows and queries that the fit samples at most.
+PART_ROWS, SLICE_QUERIES, BATCHES = 16_384, 32_768, 64
 SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 128
 #: Functions and tables that the fit tries, and rows of a bucket from which more functions are tried.
 FUNCTIONS, TABLES, BUCKET_ROWS = (2, 4, 6, 8, 10, 12, 14), (1, 2, 4), 16
@@ -170,7 +174,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
     classes = classes.where(F.size("v") == dim)
     asked = written(usable(queries, id_column, column).where(F.size("v") == dim).distinct(), "queries")
     texts = written(asked.groupBy("v").agg(F.min("id").alias("query")), "query_vectors")
-    index = fit(classes.withColumn("id", F.element_at("ids", 1)), k, texts.count(), recall)
+    many = texts.count()
+    index = fit(classes.withColumn("id", F.element_at("ids", 1)), k, many, recall)
     if index is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_column} {kind}, score double")
     ids, tables, n = kind, len(index.directions), lengths["count"]
@@ -187,8 +192,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
     places = coded.select("class", "v", F.posexplode("codes").alias("t", "code")).withColumn("g", F.floor(F.col("code") / group_size).cast("int"))
     parts = written(places.groupBy("t", "g").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "groups")  # a row a group of buckets
 
-    def found_by(asking: DataFrame, every: bool) -> DataFrame:
-        """(query, class, score): the best k + 1 classes that rows (v, query) find in the buckets that they visit, or in ``every`` one."""
+    cells = written(parts.select("t", "g", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("batch", F.pmod(F.xxhash64("t", "g", "part"), F.lit(BATCHES)).cast("int")), "cells")  # a row a part
+
+    def found_by(asking: DataFrame, many: int, every: bool) -> DataFrame:
+        """(query, class, score): the best k + 1 classes that the ``many`` rows (v, query) find in the buckets that they
+        visit, or in ``every`` one."""
 
         def probed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             points = index.lifted(vectors_of(batch.column(0)), True)
@@ -202,30 +210,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
                     groups += own[starts].tolist()
                     lists += np.split(codes.astype(np.int32), starts[1:])
                 sizes = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                taken = pa.array(np.array(who, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(who), t, np.int32)), pa.array(groups, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(lists))), *(c.take(taken) for c in batch.columns)],
-                    names=["t", "g", "codes", "v", "query"],
+                    [pa.array(np.full(len(who), t, np.int32)), pa.array(groups, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(lists))), batch.column(1).take(pa.array(np.array(who, np.int64)))],
+                    names=["t", "g", "codes", "query"],
                 )
 
-        probes = written(by_batch(asking.select("v", "query"), probed, f"t int, g int, codes array<int>, v array<double>, query {ids}"), "probes")
-        slices = probes.groupBy("t", "g").agg(F.ceil(F.count("*") / SLICE_QUERIES).cast("int").alias("slices"))
-        cut = written(parts.join(slices, ["t", "g"]), "cut")  # a row a group
-        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        index_rows = places.join(cut, ["t", "g"]).select("t", "g", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), each("slices").alias("slice"), "code", "class", "v")
-        probe_rows = probes.join(cut, ["t", "g"]).select("t", "g", each("parts").alias("part"), F.pmod(F.xxhash64("query"), "slices").cast("int").alias("slice"), "codes", "query", "v")
-        key = ["t", "g", "part", "slice"]
-        near = index_rows.groupBy(*key).cogroup(probe_rows.groupBy(*key)).applyInArrow(lambda a, b: compared(a, b, k + 1), f"query {ids}, class {ids}, score double")
+        probes = written(by_batch(asking.select("v", "query"), probed, f"t int, g int, codes array<int>, query {ids}"), "probes")
+        slice_ = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-many // SLICE_QUERIES)))).cast("int").alias("slice")
+        none = lambda kind: F.lit(None).cast(kind)
+        where = lambda first: [F.lit(first).alias("kind"), *([F.lit(-1).alias(c) for c in ("t", "g", "part")] if not first else ["t", "g", "part"])]
+        asked_in = probes.join(cells, ["t", "g"]).select(slice_, "batch", *where(1), none("int").alias("code"), "codes", F.col("query").alias("id"), none("array<double>").alias("v"))
+        once = probes.select("t", "g", "query").join(cells.select("t", "g", "batch").distinct(), ["t", "g"]).select("query", "batch").distinct()  # BATCHES a query at most
+        vectors_in = once.join(asking, "query").select(slice_, "batch", *where(0), none("int").alias("code"), none("array<int>").alias("codes"), F.col("query").alias("id"), "v")
+        visits = probes.select("t", "g", slice_).distinct()  # a row for each slice and group
+        rows_in = (
+            places.join(parts, ["t", "g"]).withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")).join(cells.drop("parts"), ["t", "g", "part"]).join(visits, ["t", "g"])
+            .select("slice", "batch", *where(2), "code", none("array<int>").alias("codes"), F.col("class").alias("id"), "v")
+        )
+        rows = vectors_in.unionByName(asked_in).unionByName(rows_in).select(*KEY, "code", "codes", "id", "v").repartition("slice", "batch").sortWithinPartitions(*KEY)
+        near = map_batches(rows, lambda batches: streamed(batches, k + 1), f"query {ids}, class {ids}, score double")
         merged = near.groupBy("query", "class").agg(F.max("score").alias("score"))
         by_score = Window.partitionBy("query").orderBy(F.col("score").desc(), "class")
         return merged.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).select("query", "class", "score")
 
-    kept = written(found_by(texts, False), "kept")
+    kept = written(found_by(texts, many, False), "kept")
     if index.target < 1 or index.share < 1:
         full = kept.groupBy("query").count().where(F.col("count") >= min(k + 1, n)).select("query")
         short = written(texts.join(full, "query", "left_anti"), "short")
-        if short.limit(1).count():
-            kept = kept.join(short.select("query"), "query", "left_anti").unionByName(found_by(short, True))
+        if left := short.count():
+            kept = kept.join(short.select("query"), "query", "left_anti").unionByName(found_by(short, left, True))
     members = classes.select(F.element_at("ids", 1).alias("class"), "ids")
     found = written(kept.join(members, "class").select("query", F.explode("ids").alias("found"), "score"), "found")
     each = asked.join(texts.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v")).select(F.col("id").alias("query_id"), "query")
@@ -237,6 +250,40 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
     )
 
 
+#: What the rows of a search are dealt and sorted by. Of a slice and batch, kind 0 are the query vectors, first of all;
+#: then, part by part, kind 1 what queries visit there, and kind 2 the part's rows.
+KEY = ("slice", "batch", "t", "g", "part", "kind")
+
+
+def streamed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(query, class, score) of rows sorted by ``KEY``: what ``compared`` gives of each part, a batch's vectors held once."""
+    task = part = None
+    held: dict[int, list[pa.RecordBatch]] = {0: [], 1: [], 2: []}
+
+    def give() -> Iterator[pa.RecordBatch]:
+        if held[1] and held[2]:
+            vectors, asked, rows = (pa.Table.from_batches(held[kind]) for kind in range(3))
+            place = pc.index_in(asked.column("id"), value_set=vectors.column("id").combine_chunks())
+            probes = pa.table({"codes": asked.column("codes"), "query": asked.column("id"), "v": vectors.column("v").combine_chunks().take(place.combine_chunks())})
+            yield from compared(rows.select(["code", "id", "v"]).rename_columns(["code", "class", "v"]), probes, most).to_batches()
+        held[1], held[2] = [], []
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(len(KEY))])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            *now, kind = keys[:, a].tolist()
+            if now != part:
+                yield from give()
+                part = now
+            if now[:2] != task:
+                task, held[0] = now[:2], []
+            held[kind].append(batch.slice(a, b - a))
+    yield from give()
+
+
 def compared(index: pa.Table, probes: pa.Table, most: int) -> pa.Table:
     """(query, class, score): for each row of ``probes`` (codes, query, v) its ``most`` nearest rows of ``index`` (code,
     class, v) in the buckets of its codes; ties to the lesser class."""

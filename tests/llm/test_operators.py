@@ -530,3 +530,27 @@ def test_a_large_group_of_near_copies(spark):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert got == {k: find(k) for k in sets}
+
+
+def test_a_batch_has_its_query_vectors_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    kinds = pa.schema([*((k, pa.int32()) for k in neighbours.KEY), ("code", pa.int32()), ("codes", pa.list_(pa.int32())), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    rows, want = [], set()
+    for s in range(2):
+        queries = {100 * s + q: rng.standard_normal(3).tolist() for q in range(7)}
+        for b in range(2):
+            rows += [(s, b, -1, -1, -1, 0, None, None, q, v) for q, v in queries.items()]
+            for g in range(3):
+                own = {1000 + 100 * g + c: (c % 4, rng.standard_normal(3).tolist()) for c in range(20)}
+                visits = {q: sorted(rng.choice(4, 2, replace=False).tolist()) for q in queries if q % 3 != g or g == 0}
+                rows += [(s, b, 0, g, 0, 1, None, codes, q, None) for q, codes in visits.items()] if g < 2 else []
+                rows += [(s, b, 0, g, 0, 2, code, None, c, v) for c, (code, v) in own.items()]
+                for q, codes in visits.items() if g < 2 else ():
+                    best = sorted(((-float((np.array(queries[q]) * np.array(v)).sum()), c) for c, (code, v) in own.items() if code in codes))[:4]
+                    want |= {(q, c, round(-score, 9)) for score, c in best}
+    table = pa.Table.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], schema=kinds)
+    for size in (1, 5, 1000):
+        got = [(r["query"], r["class"], round(r["score"], 9)) for out in neighbours.streamed(iter(table.to_batches(max_chunksize=size)), 4) for r in out.to_pylist()]
+        assert set(got) == want
