@@ -123,11 +123,13 @@ def word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each different key the first place and the sum of weights, and each key's number."""
-    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    sums = np.add.reduceat(weights[order], np.searchsorted(number[order], np.arange(len(first)))) if len(first) else np.empty(0, np.int64)
-    return first, sums, number
+    """Of each different key a place and the sum of weights, and each key's number; one sort for all three."""
+    order = np.argsort(keys)
+    new = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] - keys.dtype.type(1))) if len(keys) else order
+    sums = np.add.reduceat(weights[order], new) if len(keys) else np.empty(0, np.int64)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.repeat(np.arange(len(new)), np.diff(new, append=len(keys)))
+    return order[new], sums, number
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -200,7 +202,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         at, hashes = np.flatnonzero(pairs_at(stream, known.value) & stream.own), stream.hashes()
         pairs = pair_hash(hashes[stream.word[at]], hashes[stream.word[at + 1]])
         first, sums, _ = summed(pairs, stream.weight[at])
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[first].view(np.int64)), pa.array(sums.astype(np.int64))], names=["h", "f"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[first].view(np.int64)), pa.array(sums)], names=["h", "f"])
 
     known_pairs = context.broadcast(bit_table(counted(chunks, pairs_in, least, "h long")))
 
