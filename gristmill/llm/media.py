@@ -1,7 +1,8 @@
 """Media columns: ISO base media files in binary columns, written, walked and described without decoding payloads.
 
 ``write_track`` stores a payload as one track of 8-bit samples; ``describe`` walks nested boxes, decodes the sample
-tables (stts, stsc, stsz, stco or co64, stss) and gives codec, duration and the byte ranges of samples and keyframes.
+tables (stts, stsc, stsz, stco or co64, stss) and those of movie fragments (tfhd, trun) and gives codec, duration and the
+byte ranges of samples and keyframes.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +27,9 @@ RATE = 8000
 AT_ONCE = 8 << 20
 #: Boxes that hold boxes; fixed by ISO/IEC 14496-12.
 CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf"})
+DEEPEST = 32
+#: A sample's flag that says it is no sync sample; fixed by the same.
+NOT_SYNC = 0x10000
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -73,26 +78,31 @@ def write_track(payload: bytes, unit: int = UNIT, group: int = GROUP, chunk: int
     return ftyp + moov(len(ftyp) + len(moov(0)) + head) + box(b"mdat", payload)
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, nested ones after their container. A size beyond the end is cut there;
-    less than a box header, or a size below the header's, ends the walk of that level."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, start, body start, body end) of every box, nested ones after their container, with a stack. A size beyond
+    the end is cut there; less than a box header, or a size below the header's, ends the walk of that level. No file nests
+    containers ``DEEPEST`` deep: what lies deeper isn't walked."""
+    work: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while work:
+        start, end, path = work.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and start + 16 <= end:
             size, body = struct.unpack_from(">Q", data, body)[0], start + 16
         to = end if size == 0 else min(end, start + size)
         if to < body:
-            return
-        yield (*path, kind), body, to
-        if kind in CONTAINERS:
-            yield from walk(data, body, to, (*path, kind))
-        start = to
+            continue
+        yield (*path, kind), start, body, to
+        work.append((to, end, path))
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            work.append((body, to, (*path, kind)))
 
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     timescale: int = 0
     duration: int = 0
@@ -116,11 +126,60 @@ def _table(data: memoryview, at: int, end: int, form: str) -> list[tuple]:
     return list(struct.iter_unpack(f">{form}", data[at + 4 : at + 4 + count * width]))
 
 
+@dataclass
+class Fragment:
+    """What a track fragment's header says: its track's number, where its data are counted from and have come to, and
+    its samples' defaults."""
+
+    number: int = 0
+    base: int = 0
+    at: int = 0
+    length: int = 0
+    size: int = 0
+    flags: int = 0
+
+
+def _fields(data: memoryview, at: int, flags: int, known: tuple[tuple[int, str, str], ...]) -> tuple[dict[str, int], int]:
+    """The optional fields that ``flags`` has, in order, and the place behind them."""
+    out = {}
+    for bit, name, form in known:
+        if flags & bit:
+            (out[name],) = struct.unpack_from(f">{form}", data, at)
+            at += struct.calcsize(form)
+    return out, at
+
+
+def _run(data: memoryview, at: int, end: int, fragment: Fragment) -> list[tuple[int, int, int, bool]]:
+    """(place, size, length, key) of a run's samples (trun). A count beyond the box, or beyond the file, is cut."""
+    head, count = struct.unpack_from(">II", data, at)
+    flags = head & 0xFFFFFF
+    own, at = _fields(data, at + 8, flags, ((0x1, "offset", "i"), (0x4, "first", "I")))
+    place = fragment.base + own["offset"] if "offset" in own else fragment.at
+    columns = [name for bit, name in ((0x100, "length"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if columns:
+        count = min(count, (end - at) // (4 * len(columns)))
+        rows = [dict(zip(columns, row, strict=True)) for row in struct.iter_unpack(f">{len(columns)}I", data[at : at + count * 4 * len(columns)])]
+    else:
+        rows = [{}] * min(count, (len(data) - place) // fragment.size if fragment.size and place >= 0 else 0)
+    out = []
+    for k, row in enumerate(rows):
+        size = row.get("size", fragment.size)
+        said = own["first"] if k == 0 and "first" in own else row.get("flags", fragment.flags)
+        out.append((place, size, row.get("length", fragment.length), not said & NOT_SYNC))
+        place += size
+    fragment.at = place
+    return out
+
+
 def describe(data: bytes) -> list[Track]:
-    """The tracks of an ISO media file, from its boxes alone. Bytes that are no such file, or end early, give fewer."""
+    """The tracks of an ISO media file, from its boxes alone; fragments go on with the track of their number, wherever
+    they stand. Bytes that are no such file, or end early, give fewer."""
     view, tracks = memoryview(data), []
     tables: dict[bytes, list[tuple]] = {}
-    fixed = units = 0
+    defaults: dict[int, tuple[int, int, int]] = {}  # a track's (length, size, flags) of samples in fragments
+    samples: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)  # a track's in fragments
+    fixed = units = moof = 0
+    fragment = Fragment()
 
     def close() -> None:
         track, runs = tracks[-1], tables.get(b"stsc", [])
@@ -133,18 +192,33 @@ def describe(data: bytes) -> list[Track]:
             for _ in range(min(runs[run][1] if runs else 0, len(track.sizes) - k)):
                 track.offsets.append(place)
                 place, k = place + track.sizes[k], k + 1
-        track.keys = [s - 1 for (s,) in tables[b"stss"]] if b"stss" in tables else list(range(len(track.sizes)))
+        track.keys = [s - 1 for (s,) in tables[b"stss"] if 0 < s <= len(track.sizes)] if b"stss" in tables else list(range(len(track.sizes)))
 
     try:
-        for path, at, end in walk(view):
+        for path, start, at, end in walk(view):
             kind = path[-1]
             if kind == b"trak":
                 if tracks:
                     close()
                 tracks.append(Track())
                 tables, fixed, units = {}, 0, 0
+            elif kind == b"trex":
+                number, _, *rest = struct.unpack_from(">5I", view, at + 4)
+                defaults[number] = tuple(rest)
+            elif kind == b"moof":
+                moof, fragment = start, Fragment(at=start)
+            elif kind == b"tfhd" and b"traf" in path:
+                head, number = struct.unpack_from(">II", view, at)
+                own, _ = _fields(view, at + 8, head, ((0x1, "base", "Q"), (0x2, "entry", "I"), (0x8, "length", "I"), (0x10, "size", "I"), (0x20, "flags", "I")))
+                base = own.get("base", moof if head & 0x20000 else fragment.at)  # else behind the data of the fragment before
+                length, size, flags = defaults.get(number, (0, 0, 0))
+                fragment = Fragment(number, base, base, own.get("length", length), own.get("size", size), own.get("flags", flags))
+            elif kind == b"trun" and b"traf" in path:
+                samples[fragment.number] += _run(view, at, end, fragment)
             elif b"trak" not in path:
                 continue
+            elif kind == b"tkhd":
+                (tracks[-1].number,) = struct.unpack_from(">I", view, at + (20 if view[at] == 1 else 12))
             elif kind == b"mdhd":
                 wide = view[at] == 1
                 tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if wide else ">II", view, at + (20 if wide else 12))
@@ -162,6 +236,13 @@ def describe(data: bytes) -> list[Track]:
         pass
     if tracks:
         close()
+    for track in tracks:
+        more = samples.pop(track.number, [])
+        whole = len(track.sizes)
+        track.duration = track.duration or sum(length for _, _, length, _ in more)
+        track.keys += [whole + k for k, sample in enumerate(more) if sample[3]]
+        track.offsets += [sample[0] for sample in more]
+        track.sizes += [sample[1] for sample in more]
     return tracks
 
 
