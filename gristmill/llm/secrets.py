@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is scanned by fixed patterns; then its encoded runs (percent, Unicode and character escapes, base64, hex, and
-compressed bytes in these) are unwrapped into layers, each scanned and unwrapped in turn until no layer gives a new one.
+A text is scanned by fixed patterns; then its encoded runs (percent, Unicode, octal and character escapes, base64, hex, and
+UTF-16 or compressed bytes in these, raw deflate among them) are unwrapped into layers, each scanned and unwrapped in turn until no layer gives a new one.
 Digests of the layers seen end cycles; escapes of escapes are read as one, so that deep ones cost no more than their
 length. Each layer maps its code points to spans of the text, so that a find in any layer has a span in the text: exact
 for escapes, the encoded run for base64, hex and compressed layers. Runs that meet over line ends are one run as well.
@@ -40,8 +40,9 @@ LEAST = {"assign": 8, "access": 16}
 #: again, in the same way, the chain is one escape: ``%252541`` is ``A``.
 PERCENT, WIDE_U, SHORT_X = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})"), re.compile(r"\\(?:u005[cC])*u([0-9A-Fa-f]{4})"), re.compile(r"\\(?:x5[cC])*x([0-9A-Fa-f]{2})")
 BRACED = re.compile(r"\\(?:u\{0{0,4}5[cC]\})*u\{([0-9A-Fa-f]{1,6})\}")
+LONG_U, OCTAL = re.compile(r"\\(?:U0000005[cC])*U([0-9A-Fa-f]{8})"), re.compile(r"\\(?:134)*([0-3][0-7]{2})")
 NAMED = re.compile(r"&(?:amp;|#0{0,5}38;|#[xX]0{0,4}26;)*(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
-ESCAPE = re.compile("|".join([f"(?:{PERCENT.pattern})+", BRACED.pattern, f"(?:{WIDE_U.pattern})+", f"(?:{SHORT_X.pattern})+", NAMED.pattern]))
+ESCAPE = re.compile("|".join([f"(?:{PERCENT.pattern})+", BRACED.pattern, f"(?:{WIDE_U.pattern})+", f"(?:{SHORT_X.pattern})+", LONG_U.pattern, f"(?:{OCTAL.pattern})+", NAMED.pattern]))
 #: Steps by which a text's escapes are resolved one by one, each a layer; what is left then is resolved in one pass. And
 #: the code points that such a pass sees of an escape at once, a longer one being a chain.
 STEPS, WINDOW = 16, 64
@@ -55,6 +56,8 @@ HEAD = re.compile(rf"[A-Za-z0-9+/_-]{{1,15}}{BREAK.pattern}\Z")
 HEXPIECE = re.compile(r"[0-9A-Fa-f]{16,}")
 #: Text among other bytes: as long as the shortest secret, ``token=`` and 8 more.
 STRETCH = re.compile(rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
+#: The same as UTF-16, of characters that secrets have; low bytes first, or high ones.
+WIDE_STRETCH = re.compile(rb"(?:[\t-\r\x20-\x7e]\0){14,}|(?:\0[\t-\r\x20-\x7e]){14,}")
 #: First bytes of gzip, bzip2, xz and zlib.
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x78[\x01\x5e\x9c\xda]")
 #: A layer beyond this many bytes is scanned in parts that overlap, as its bytes come out, so that none is held whole.
@@ -172,12 +175,43 @@ def inflated(data: bytes, left: list[int]) -> Iterator[bytes]:
 
 
 def texts(data: bytes) -> Iterator[tuple[str, int, int]]:
-    """(text, start, end) of the bytes where all are text, or of the stretches that are."""
+    """(text, start, end) of the bytes where all are text, or of the stretches that are, in UTF-8 or UTF-16."""
     if whole := readable(data):
         yield whole, 0, len(data)
     else:
         for m in STRETCH.finditer(data):
             yield m[0].decode(errors="replace"), m.start(), m.end()
+        if b"\0" in data:
+            for m in WIDE_STRETCH.finditer(data):
+                yield m[0].replace(b"\0", b"").decode(), m.start(), m.end()
+
+
+def raw_inflated(data: bytes, left: list[int]) -> Iterator[bytes]:
+    """What bytes that are one whole raw deflate stream hold, in parts as ``inflated`` has them: text, or compressed
+    bytes again. None where they are no such stream, which the first piece mostly tells."""
+    now, part, given = zlib.decompressobj(-15), bytearray(), []
+    try:
+        piece = now.decompress(data, PIECE)
+        if not piece or not (MAGIC.match(piece) or next(texts(piece[:1024]), None)):
+            return
+        while True:
+            part += piece
+            if len(part) > MOST_BYTES:
+                given.append(bytes(part))
+                del part[: -min(OVERLAP, MOST_BYTES // 2)]
+            if now.eof:
+                break
+            piece = now.decompress(now.unconsumed_tail, PIECE)
+            if not piece and not now.eof:
+                return
+    except zlib.error:
+        return
+    left.append(len(now.unused_data))
+    for part in (*given, bytes(part)):
+        if MAGIC.match(part):
+            yield from inflated(part, [])
+        else:
+            yield part
 
 
 def unescaped(run: str) -> list[tuple[int, int, str]]:
@@ -186,11 +220,11 @@ def unescaped(run: str) -> list[tuple[int, int, str]]:
         name = NAMED.fullmatch(run)[1]
         new = html.unescape(f"&{name};")
         return [(0, len(run), new)] if new != f"&{name};" and "\ufffd" not in new else []
-    if m := BRACED.fullmatch(run):
+    if m := BRACED.fullmatch(run) or LONG_U.fullmatch(run):
         code = int(m[1], 16)
         return [(0, len(run), chr(code))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else []
-    kind = PERCENT if run[0] == "%" else SHORT_X if SHORT_X.match(run) else WIDE_U
-    found = [(m.start(), m.end(), int(m[1], 16)) for m in kind.finditer(run)]
+    kind = PERCENT if run[0] == "%" else next(k for k in (SHORT_X, WIDE_U, OCTAL) if k.match(run))
+    found = [(m.start(), m.end(), int(m[1], 8 if kind is OCTAL else 16)) for m in kind.finditer(run)]
     codes, out, k = [c for _, _, c in found], [], 0
     if kind is WIDE_U:
         while k < len(codes):
@@ -309,6 +343,9 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
                     yield from (Layer(inner, whole) for inner, _, _ in texts(part))
             elif inner := readable(data):
                 yield Layer(inner, whole)
+            else:
+                for part in raw_inflated(data, []):
+                    yield from (Layer(inner, whole) for inner, _, _ in texts(part))
     for m in WRAPPED.finditer(text):
         for inner, start, end in pieces(text, m.start(), m.end()):
             yield Layer(inner, [(0, *layer.span(start, end), False)])
@@ -341,14 +378,18 @@ def pieces(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
         first, there = places[bisect_right(starts, k) - 1]
         return there + k - first
 
+    left: list[int]
     for data, at, wide, narrow in readings(run):
         there = lambda p, q: (place(at + p * wide // narrow), end if at - (-q * wide // narrow) >= len(run) else place(at - (-q * wide // narrow) - 1) + 1)  # noqa: B023, E731
         if at or len(lines) > 1 or not (readable(data) or MAGIC.match(data)):  # else the run as a whole has given it
             for inner, p, q in texts(data):
                 yield inner, *there(p, q)
+            left = []
+            for part in raw_inflated(data, left) if at or len(lines) > 1 else ():
+                yield from ((inner, *there(0, len(data) - sum(left))) for inner, _, _ in texts(part))
         for m in MAGIC.finditer(data):
             if at or len(lines) > 1 or m.start():
-                left: list[int] = []
+                left = []
                 for part in inflated(data[m.start() :], left):
                     yield from ((inner, *there(m.start(), len(data) - sum(left))) for inner, _, _ in texts(part))
 

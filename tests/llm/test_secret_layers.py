@@ -1,0 +1,91 @@
+"""Added spans against an independent decoder: planted secrets under random layers, each with the place it must have."""
+
+import base64
+import bz2
+import gzip
+import lzma
+import random
+import time
+import zlib
+
+import pytest
+
+from gristmill.llm import secrets
+
+SECRET = "api_key: s3cretValue99"
+
+
+def deflate(data):
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(data) + c.flush()
+
+
+ENCODERS = {
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+    "hex": lambda t: t.encode().hex(),
+    "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "octal": lambda t: "".join(f"\\{b:03o}" for b in t.encode()),
+    "long": lambda t: "".join(f"\\U{ord(c):08x}" for c in t),
+    "wide": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "utf-16le": lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+    "utf-16be": lambda t: base64.b64encode(t.encode("utf-16-be")).decode(),
+    "utf-16 and its mark": lambda t: base64.b64encode(t.encode("utf-16")).decode(),
+    "utf-16 in hex": lambda t: t.encode("utf-16-le").hex(),
+    "deflate": lambda t: base64.b64encode(deflate(t.encode())).decode(),
+    "deflate in hex": lambda t: deflate(t.encode()).hex(),
+    "deflated gzip": lambda t: base64.b64encode(deflate(gzip.compress(t.encode()))).decode(),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+    "bzip2": lambda t: base64.b64encode(bz2.compress(t.encode())).decode(),
+    "xz": lambda t: base64.b64encode(lzma.compress(t.encode())).decode(),
+}
+
+
+@pytest.mark.parametrize("outer", ENCODERS)
+@pytest.mark.parametrize("inner", ["", "percent", "octal", "base64", "utf-16le", "deflate"])
+def test_planted(inner, outer):
+    hidden = f"first words, {SECRET} and the last ones"
+    run = ENCODERS[outer](f"before {ENCODERS[inner](hidden)} after" if inner else hidden)
+    text = f"é some text {run} and more"
+    at = text.index(run)
+    spans = [(a, b) for kind, a, b in secrets.find(text)[1] if kind == "assign"]
+    assert any(at <= a < b <= at + len(run) for a, b in spans), spans
+    assert all(at <= a < b <= at + len(run) for a, b in spans)
+    if outer in ("octal", "long", "wide", "percent") and not inner:  # escapes map exactly
+        a, b = spans[0]
+        step = len(run) // len(hidden)
+        start = hidden.index(SECRET) * step
+        assert (a, b) == (at + start, at + start + step * len(SECRET))
+
+
+@pytest.mark.parametrize("name", ["utf-16le", "deflate"])
+@pytest.mark.parametrize("width", [0, 64])
+def test_wrapped_and_glued(name, width):
+    words = " ".join(random.Random(k).choice(["alpha", "beta", "gamma"]) for k in range(60))
+    run = ENCODERS[name](f"{words} {SECRET}")
+    shown = "\n".join(run[k : k + width] for k in range(0, len(run), width)) if width else f"/x/{run}"
+    text = f"see\n\n{shown} end"
+    spans = [s for s in secrets.find(text)[1] if s[0] == "assign"]
+    assert spans and all(5 <= a < b <= 5 + len(shown) for _, a, b in spans)
+
+
+def test_chains_of_escapes():
+    for deep in ("\\134" * 1 + "134" * 3000 + "075", "\\U0000005c" * 1 + "U0000005c" * 2000 + "U0000003d"):
+        text = f"password{deep}hunter2hunter2"
+        began = time.process_time()
+        assert ("assign", 0, len(text)) in secrets.find(text)[1]
+        assert time.process_time() - began < 2
+
+
+def test_random_bytes_add_nothing_and_cost_little():
+    rng = random.Random(2)
+    text = " ".join(base64.b64encode(rng.randbytes(rng.randrange(12, 4000))).decode() for _ in range(300))
+    began = time.process_time()
+    base, spans = secrets.find(text)
+    assert spans == base and time.process_time() - began < 10
+
+
+def test_a_large_deflate_layer_is_read_in_parts(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BYTES", 1 << 17)
+    run = base64.b64encode(deflate(b"plain words " * 60000 + SECRET.encode() + b" more" * 60000)).decode()
+    assert ("assign", 0, len(run)) in secrets.find(run)[1]
