@@ -1,15 +1,17 @@
 """Edit-aware token counts: a segment tree over each document's pre-token leaves, kept as a column; edits re-encode only
 what they touch.
 
-A leaf is a run of whole chunks, so that a text's count is the sum of its leaves' counts. ``count_trees`` gives each
+A leaf ends at a border, where the tokenizer parts texts whatever else stands on either side: at white space, beside a
+digit, between a letter and a mark, also in texts without blanks. So a text's count is the sum of its leaves' counts. ``count_trees`` gives each
 row its leaves' (code points, tokens), which can be stored beside the text. ``apply_edits`` builds the sums from the
-column, without encoding the text, and takes the row's edits in order: from the blank before an edit to the blank after
+column, without encoding the text, and takes the row's edits in order: from the border before an edit to the one after
 it the old and the new pre-tokens are encoded, their difference goes up the sums, and all else stays as it was. Leaves
 that grow beyond twice their size split. The new text and the new tree are columns again, for edits to come.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,32 +24,56 @@ from gristmill.llm.tokens import ChunkEncoder, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 512
-BLANKS = " \t\n\r"
+#: Marks that are never part of a contraction or of a special token's name, and that end the context in which a letter
+#: is lower-cased; letters, of which no two that meet these compose with them; letters and marks of Chinese, Japanese and Korean.
+MARKS = re.escape("(){}[],;=+*/&!?#$%\"@~\\_-")
+LATIN = "A-Za-zß-öø-ÿÀ-ÖØ-Þ"
+EASTERN, EASTERN_MARKS = "\u4e00-\u9fa5\u3041-\u3094\u30a1-\u30fa\uac00-\ud7a3", "\u3001\u3002\u300c-\u300f\uff01\uff08\uff09\uff0c\uff1b\uff1f"
+#: A place where texts part, told by the code points on its two sides alone: tokens never reach over it.
+BORDER = re.compile(
+    rf"(?<=[\x20\t\n\r])|(?=[\x20\t\n\r])|(?=[0-9])|(?<=[0-9])(?=[\x21-\x7e])|(?<=[{LATIN}])(?=[{MARKS}])|(?<=[{MARKS}])(?=[{LATIN}])"
+    rf"|(?<=[{EASTERN}])(?=[{EASTERN_MARKS}{MARKS}])|(?<=[{EASTERN_MARKS}{MARKS}])(?=[{EASTERN}])"
+)
+#: Code points in which the last border is looked for at first.
+NEAR = 64
 TREE = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
 STORED_TREE = T.ArrayType(T.StructType([T.StructField("chars", T.IntegerType()), T.StructField("tokens", T.IntegerType())]))
 EDITED = {"n_tokens_edited": T.LongType(), "n_chars_edited": T.LongType(), "n_edits": T.IntegerType(), "encoded_again": T.LongType()}
 
 
 def leaves(text: str, size: int = LEAF) -> list[str]:
-    """``text`` in runs of at least ``size`` code points, each but the last ending in a blank."""
+    """``text`` in runs of at least ``size`` code points, each but the last ending at a border."""
     out, at, end = [], 0, len(text)
     while at < end:
-        to = at + size
-        while to < end and text[to - 1] not in BLANKS:
-            to += 1
+        m = BORDER.search(text, min(end, at + size))
+        to = m.start() if m else end
         out.append(text[at:to])
         at = to
     return out
 
 
-def last_blank(text: str) -> int:
-    """The place behind the last blank, or 0."""
-    return 1 + max(map(text.rfind, BLANKS))
+def last_border(text: str) -> int:
+    """The place of the last border within ``text`` or behind it, or 0."""
+    near = NEAR
+    while near < 2 * len(text):
+        at = None
+        for m in BORDER.finditer(text, max(0, len(text) - near)):
+            at = m.start()
+        if at:
+            return at
+        near *= 4
+    return 0
 
 
-def first_blank(text: str) -> int:
-    """The place of the first blank, or the end."""
-    return min((k for k in map(text.find, BLANKS) if k >= 0), default=len(text))
+def first_border(text: str) -> int:
+    """The place of the first border within ``text`` or before it, or the end."""
+    m = BORDER.search(text)
+    return m.start() if m else len(text)
+
+
+def meets(before: str, after: str) -> bool:
+    """Whether there is a border between two texts that aren't empty."""
+    return BORDER.match(before[-1] + after[0], 1) is not None
 
 
 class CountTree:
@@ -117,7 +143,7 @@ class CountTree:
         return self.count(part) if part else 0
 
     def _part(self, whole: str, tokens: int, keep: slice) -> int:
-        """The tokens of a part of ``whole`` that ends or begins at a blank, by what is shorter to encode."""
+        """The tokens of a part of ``whole`` that ends or begins at a border, by what is shorter to encode."""
         kept, rest = whole[keep], whole[: keep.start] if keep.start else whole[keep.stop :]
         return self._encode(kept) if len(kept) <= len(rest) else tokens - self._encode(rest)
 
@@ -130,9 +156,9 @@ class CountTree:
         last, after = self.find(end)
         before, after = before + (start > 0), after + (end == total > 0)
         left, right, gone = self.leaf[first][:before], self.leaf[last][after:], range(first + 1, last + 1)
-        # boundary context: without a blank at its end, the slot's last chunk goes on in the next one
+        # boundary context: without a border at its end, the slot's last chunk goes on in the next one
         more, ends = [], right or new or left
-        while ends and ends[-1] not in BLANKS and (nxt := self._next(more[-1] if more else last)) is not None:
+        while ends and (nxt := self._next(more[-1] if more else last)) is not None and not meets(ends, self.leaf[nxt]):
             more.append(nxt)
             ends = self.leaf[nxt]
         merged = left + new + right + "".join(self.leaf[k] for k in more)
@@ -146,7 +172,7 @@ class CountTree:
             )
             return
         tail = right + "".join(self.leaf[k] for k in more)
-        p, q = last_blank(left), first_blank(tail)
+        p, q = last_border(left), first_border(tail)
         if first == last and not more:
             kept = self.tokens[self.base + first] - self._encode(self.leaf[first][p : after + q])
         else:
