@@ -44,7 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and joins see the table's true size, so that Spark broadcasts it only below its own limit."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave and of which all that hangs on them is written too; others it leaves alone."""
+    for table in tables:
+        if path := getattr(table, "_written_at", None):
+            _drop(table.sparkSession, path)
 
 
 Function = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import written
+from gristmill.llm.common import forget, written
 
 
 def is_forest_of_stars(edges: DataFrame) -> bool:
@@ -25,5 +25,6 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("u > v").join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
-        edges = written(small.where("v <> u").distinct(), "edges")
+        before, edges = edges, written(small.where("v <> u").distinct(), "edges")
+        forget(before)
     return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())

@@ -234,7 +234,8 @@ def apply_edits(trees: DataFrame, path: str, edits: str = "edits") -> DataFrame:
     """``trees`` (text, tree, and ``edits``, an array of (start, end, new), each for the text that the ones before have
     left) with text and tree after the edits, and n_tokens_edited, n_chars_edited, n_edits and encoded_again, the code
     points that were encoded for them. Null edits are none; nulls in one are 0 and empty. A null text stays null unless
-    it is edited. Other columns stay; those of the added names give way."""
+    it is edited. Other columns stay; those of the added names give way. Rows that repeat an id, or are alike, have their
+    edits each; a text of any length stays one row; an empty table gives an empty result."""
     trees = trees.drop(*EDITED)
     names = trees.columns
     text_at, tree_at, edits_at = (names.index(c) for c in ("text", "tree", edits))

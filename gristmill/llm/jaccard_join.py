@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import by_batch, map_batches, text_of, written
+from gristmill.llm.common import by_batch, forget, map_batches, text_of, written
 from gristmill.llm.components import components
 
 WORDS = 5
@@ -427,8 +427,8 @@ def proposed(members: DataFrame, most: int, chain: bool = False) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
-    """``pairs`` (a, b) whose whole sets are similar enough. The sets are made again of the texts that pairs need, so
-    that none is stored for the others. ``classes`` (cid, first)."""
+    """``pairs`` (a, b) whose whole sets are similar enough, written. The sets are made again of the texts that pairs
+    need, so that none is stored for the others, and go again. ``classes`` (cid, first)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     wanted = written(classes.join(ids, "cid", "left_semi").select("first").distinct(), "ids")
     sets = written(sets_of(docs, wanted, id_column), "sets_of_pairs")
@@ -443,7 +443,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: s
         mask = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return by_batch(both.select("a", "b", "x", "y"), run, "a long, b long")
+    links = written(by_batch(both.select("a", "b", "x", "y"), run, "a long, b long"), "links")
+    forget(wanted, sets)
+    return links
 
 
 def class_links(shared: DataFrame, points: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
@@ -456,7 +458,7 @@ def class_links(shared: DataFrame, points: DataFrame, classes: DataFrame, docs:
 
     members = first.where("k <= 2").select("key", "cid").join(carrying(2), "cid").withColumn("root", F.col("cid"))
     few = written(proposed(members, 2, chain=True).select("a", "b").distinct(), "pairs")  # most classes end in their components here
-    links, checked = written(verified(few, classes, docs, id_column), "links"), few
+    links, checked = verified(few, classes, docs, id_column), few
     roots = written(components(links), "roots")
     most, left, vectors = 8, shared, written(carrying(FIRST_KEYS), "vectors")
     while True:
@@ -465,9 +467,11 @@ def class_links(shared: DataFrame, points: DataFrame, classes: DataFrame, docs:
         found = written(proposed(rooted.join(open_keys, "key", "left_semi").join(vectors, "cid"), most), "pairs")
         again = written(found.where("more").select("key").distinct(), "keys")  # the others have shown all their candidates
         pairs = written(found.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        new = written(verified(pairs, classes, docs, id_column), "links")
+        new = verified(pairs, classes, docs, id_column)
         if new.limit(1).count():  # what was linked before is a star by now
-            roots = written(components(roots.where("id <> root").toDF("a", "b").unionByName(new)), "roots")
+            before, roots = roots, written(components(roots.where("id <> root").toDF("a", "b").unionByName(new)), "roots")
+            forget(before)
+        forget(open_keys, found, new)
         if not again.limit(1).count():
             return roots.toDF("cid", "root")
         checked = checked.unionByName(pairs)
@@ -484,6 +488,7 @@ def row_classes(docs: DataFrame, id_column: str) -> DataFrame:
     points = written(points_table(docs, wanted, id_column), "points")
     roots = class_links(shared, points, classes, docs, id_column)
     named = written(classes.join(roots, "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root")), "named")
+    forget(classes, shared, wanted, points)
     least = named.groupBy("root").agg(F.min("first").alias("first"))
     joined = named.select("cid", "root").join(least, "root").select("cid", "root", "first")
     return rows.drop("often").join(joined, "cid", "left").select("id", "digest", "n", "cid", "root", "first")
@@ -493,7 +498,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row: id, n_shingles, component_id, the least id reachable by links of a similarity of 0.8 and over.
 
     Null and empty texts, and texts of white space, have empty sets and link with nothing; a text of fewer than five
-    words is one shingle. Rows that repeat an id give a row each. Other columns are left out.
+    words is one shingle. Rows that repeat an id give a row each. Other columns are left out. Texts of any length are read
+    whole; an empty table gives an empty result.
     """
     found = row_classes(docs, id_column)
     return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
@@ -502,7 +508,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component of links, all columns: that of the least id (nulls last), of its texts the
     one of the least digest, of rows alike in both the least by the other columns' hash. Rows are told apart by id and
-    text, so that an id which rows repeat loses no other text. Rows with empty sets are copies of nothing and all stay."""
+    text, so that an id which rows repeat loses no other text. Rows with empty sets are copies of nothing and all stay.
+    Texts of any length are read whole; an empty table gives an empty result."""
     found = written(row_classes(docs, id_column).where("root IS NOT NULL").groupBy("root", "id", "digest").agg(F.count("*").alias("many")), "rows")
     # by component, the least row; an aggregation, as a component may have a third of all rows
     row = lambda d: F.struct(d["id"].isNull().alias("none"), d["id"].alias("id"), d["digest"].alias("digest"))

@@ -67,24 +67,24 @@ class BestFit:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_column: str = "doc_id") -> DataFrame:
     """A row for each piece of each document's ids and the closing ``end_id``: id, piece, start, length, ids_crc32.
 
-    Null and empty texts are the closing id alone. Repeated rows each give their pieces. Texts are encoded whole.
+    Null and empty texts are the closing id alone. Repeated rows each give their pieces. Texts are encoded whole. Ids of any
+    type; other columns are left out; an empty table gives an empty result.
     """
     kind = dict(docs.dtypes)[id_column]
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def start() -> Function:
         coder, end = ChunkEncoder(path), np.array([end_id], np.uint32)
 
         def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, own in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1).to_pylist()), strict=True):
+            for row, own in enumerate(coder.encode_batch(batch.column(1).to_pylist())):
                 ids = np.concatenate((own, end))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
-                    for column, value in zip(out, (doc_id, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())), strict=True):
+                    for column, value in zip(out, (row, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], arrow), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=[id_column, "piece", "start", "length", "ids_crc32"]
+                [batch.column(0).take(pa.array(out[0])), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=[id_column, "piece", "start", "length", "ids_crc32"]
             )
 
         return cut

@@ -86,8 +86,8 @@ class Voters:
         return [*LEXICONS, *PATTERNS, *(f"{n} words" for n in SEVERAL), *self.mined]
 
     def counter(self):
-        """A function of a text that gives the voters' hits (different words, matches of patterns), and the hashes of the
-        text's different words."""
+        """A function of a text that gives the voters' hits (different words, matches of patterns), and the different
+        hashes of the text's words."""
         lexicon = {w: k for k, some in enumerate(LEXICONS.values()) for w in some}
         first = len(LEXICONS) + len(PATTERNS) + len(SEVERAL)
         least = np.array([int(s.split()[0]) if " " in s else 1 for s in self.mined], np.float32)
@@ -117,7 +117,7 @@ class Voters:
             for k, n in enumerate(SEVERAL, len(LEXICONS) + len(PATTERNS)):
                 out[k] = distinct >= n
             own = out[source]
-            return np.concatenate((out[:first], np.where(own >= least, own, 0).astype(np.float32))), np.sort(np.array(buckets, np.uint16))
+            return np.concatenate((out[:first], np.where(own >= least, own, 0).astype(np.float32))), np.unique(np.array(buckets, np.uint16))
 
         return hits
 

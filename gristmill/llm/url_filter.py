@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import written
+from gristmill.llm.common import forget, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -75,19 +75,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
             seeds.join(F.broadcast(kept), "kind", "left")  # two rows at most
             .select("host", "kind", (F.col("score") * (1 - damping * F.coalesce("kept", F.lit(0.0)))).alias("score"))
         )
-        after = written(
-            back.unionByName(moved.select("host", "kind", (damping * F.col("score")).alias("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score")),
-            "scores",
-        )
-        change = (
-            after.select("host", "kind", "score")
-            .unionByName(state.select("host", "kind", (-F.col("score")).alias("score")))
-            .groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("d"), F.max("score").alias("score"))
-            .agg(F.sum("d"), F.count(F.when(F.col("d") > tolerance * F.col("score"), 1))).first()
+        zero = F.lit(0.0)
+        parts = (
+            back.withColumn("before", zero)
+            .unionByName(moved.select("host", "kind", (damping * F.col("score")).alias("score"), zero.alias("before")))
+            .unionByName(state.select("host", "kind", zero.alias("score"), F.col("score").alias("before")))
         )
+        after = written(parts.groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "scores")
+        change = F.abs(F.col("score") - F.col("before"))
+        total, many = after.agg(F.sum(change), F.count(F.when(change > tolerance * F.greatest("score", "before"), 1))).first()  # a scan
+        forget(*[state] * (state is not seeds))
         state = after
-        if (change[0] or 0.0) < tolerance and not change[1]:
-            return state
+        if (total or 0.0) < tolerance and not many:
+            return state.drop("before")
 
 
 def filter_urls(
