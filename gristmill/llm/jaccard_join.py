@@ -40,6 +40,8 @@ BLOCK = 512
 LEAF = 32
 MOST_GROUPS = 512
 QUERIES = 1024
+#: Classes of a component under a key that stand for it in the round before all do.
+DRAWN = 32
 #: A class's least keys that its points carry, for telling that two have met under a lesser key; pairs compared at once.
 FIRST_KEYS, COMPARED = 16, 4096
 #: Bytes of text whose shingles a task holds at once; a longer text is held by itself.
@@ -460,21 +462,43 @@ def class_links(shared: DataFrame, points: DataFrame, classes: DataFrame, docs:
     few = written(proposed(members, 2, chain=True).select("a", "b").distinct(), "pairs")  # most classes end in their components here
     links, checked = verified(few, classes, docs, id_column), few
     roots = written(components(links), "roots")
-    most, left, vectors = 8, shared, written(carrying(FIRST_KEYS), "vectors")
-    while True:
-        rooted = left.join(roots.toDF("cid", "_root"), "cid", "left").select("key", "cid", F.coalesce("_root", "cid").alias("root"))
-        open_keys = written(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "open")
-        found = written(proposed(rooted.join(open_keys, "key", "left_semi").join(vectors, "cid"), most), "pairs")
-        again = written(found.where("more").select("key").distinct(), "keys")  # the others have shown all their candidates
+    left, vectors = shared, written(carrying(FIRST_KEYS), "vectors")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots.toDF("cid", "_root"), "cid", "left").select("key", "cid", F.coalesce("_root", "cid").alias("root"))
+
+    def opened(rows: DataFrame, most: int) -> DataFrame:
+        """The candidates of rows (key, cid, root) under keys that have several components."""
+        open_keys = written(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "open")
+        found = written(proposed(rows.join(open_keys, "key", "left_semi").join(vectors, "cid"), most), "pairs")
+        forget(open_keys)
+        return found
+
+    def joined(found: DataFrame) -> None:
+        """Verifies what hasn't been, and joins components by it."""
+        nonlocal roots, checked
         pairs = written(found.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
         new = verified(pairs, classes, docs, id_column)
         if new.limit(1).count():  # what was linked before is a star by now
             before, roots = roots, written(components(roots.where("id <> root").toDF("a", "b").unionByName(new)), "roots")
             forget(before)
-        forget(open_keys, found, new)
+        checked = checked.unionByName(pairs)
+        forget(new)
+
+    # a few of each component's classes under a key, others under each, stand for it first: who is left joins large ones here
+    drawn = F.row_number().over(Window.partitionBy("key", "root").orderBy(F.xxhash64("key", "cid")))
+    some = written(rooted(shared).withColumn("r", drawn).where(F.col("r") <= DRAWN).drop("r"), "drawn")
+    found = opened(some, 8)
+    joined(found)
+    forget(some, found)
+    most = 8
+    while True:
+        found = opened(rooted(left), most)
+        again = written(found.where("more").select("key").distinct(), "keys")  # the others have shown all their candidates
+        joined(found)
+        forget(found)
         if not again.limit(1).count():
             return roots.toDF("cid", "root")
-        checked = checked.unionByName(pairs)
         most, left = most * 64, left.join(again, "key", "left_semi")
 
 
