@@ -70,7 +70,6 @@ ENDS = {
 }
 #: No end tag or implied end reaches beyond these.
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th ul ol dl blockquote".split())
-SPACE = re.compile(r"\s+")
 #: The tree keeps elements nested deeper than this as marks only: their text is their ancestor's, in order. Those outside
 #: the article and article elements keep their own, DEEPER levels more; end tags are matched at any depth.
 DEEPEST, DEEPER = 150, 20
@@ -304,7 +303,7 @@ def mark_threads(node: Node) -> None:
 
 def clean(text: str) -> str:
     """Character references decoded once, white space as one blank, trimmed."""
-    return SPACE.sub(" ", html.unescape(text.replace("\1", "").replace("\2", ""))).strip()
+    return " ".join(html.unescape(text.replace("\1", "").replace("\2", "")).split())
 
 
 # An expression is [key, flags, children, text, letters, link letters, pages]: flags has "?" for optional and "+" for
