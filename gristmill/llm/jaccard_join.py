@@ -361,18 +361,18 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
     return by_class(narrowed(docs, wanted, id_column), {"shingles": ("binary", pa.binary(), np.ndarray.tobytes)})
 
 
-def chained(members: DataFrame) -> DataFrame:
-    """``members`` with columns i, j and block: a key with more classes than ``BLOCK`` has them in blocks by a hash of the
+def chained(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``members`` (key, cid, root) with ``vectors`` (cid, ...) and columns i, j and block: a key with more classes than ``BLOCK`` has them in blocks by a hash of the
     class, and every row once for each of the pairs (i, i + 1) that its own is in; other keys are one block, (0, 0)."""
     large = written(members.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > BLOCK), "large")  # a row for BLOCK rows at most
     blocks, own = F.coalesce(F.ceil(F.col("many") / BLOCK), F.lit(1)).cast("int"), F.col("block")
     firsts = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.greatest(F.lit(0), own - 1), F.least(own, F.col("blocks") - 2)))
-    with_block = members.join(large, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    return with_block.withColumn("i", F.explode(firsts)).select(*members.columns, "i", F.least(F.col("i") + 1, F.col("blocks") - 1).alias("j"), "block")
+    with_block = members.join(large, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(vectors, "cid")
+    return with_block.withColumn("i", F.explode(firsts)).select("key", "root", *vectors.columns, "i", F.least(F.col("i") + 1, F.col("blocks") - 1).alias("j"), "block")
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """``members`` with columns i, j and block. A key with more classes than ``BLOCK`` has them in blocks: first those of
+def dealt(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``members`` (key, cid, root) with ``vectors`` (cid, ...) and columns i, j and block. A key with more classes than ``BLOCK`` has them in blocks: first those of
     the components that have few classes there, by a hash of the component, then the others' own. Every row stands once
     for each pair (i, j) of blocks that its own is in, but pairs of one component's own blocks; other keys are one block."""
     cells = members.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -392,12 +392,13 @@ def dealt(members: DataFrame) -> DataFrame:
     own_first = F.col("mixed") + F.col("before")
     others = F.when(F.col("own").isNull(), span(F.lit(0), last)).otherwise(F.concat(span(F.lit(0), own_first - 1), span(own_first + F.col("own"), last)))
     pairs = F.transform(others, lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j")))
-    return placed.withColumn("block", F.when(F.col("own").isNull(), in_mixed).otherwise(in_own)).withColumn("p", F.explode(pairs)).select(*members.columns, "p.i", "p.j", "block")
+    with_block = placed.withColumn("block", F.when(F.col("own").isNull(), in_mixed).otherwise(in_own)).join(vectors, "cid")
+    return with_block.withColumn("p", F.explode(pairs)).select("key", "root", *vectors.columns, "p.i", "p.j", "block")
 
 
-def proposed(members: DataFrame, most: int, chain: bool = False) -> DataFrame:
-    """(key, a, b, more): candidates under every key of ``members`` (key, cid, root, n, vector, firsts), and whether the
-    key has more than these. Two classes whose ``firsts`` have a lesser key in common are left to that key. A task holds
+def proposed(members: DataFrame, vectors: DataFrame, most: int, chain: bool = False) -> DataFrame:
+    """(key, a, b, more): candidates under every key of the written ``members`` (key, cid, root), with their classes'
+    ``vectors`` (cid, n, vector, firsts), and whether the key has more than these. Two classes whose ``firsts`` have a lesser key in common are left to that key. A task holds
     the points of one pair of a key's blocks, never pairs of classes. ``chain``: of a key's blocks, only neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +425,7 @@ def proposed(members: DataFrame, most: int, chain: bool = False) -> DataFrame:
         if len(held) > 1:
             yield from give()
 
-    rows = (chained if chain else dealt)(members).select("key", "i", "j", "cid", "root", "n", "vector", "firsts", "block")
+    rows = (chained if chain else dealt)(members, vectors).select("key", "i", "j", "cid", "root", "n", "vector", "firsts", "block")
     return map_batches(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid"), run, "key long, a long, b long, more boolean")
 
 
@@ -458,8 +459,9 @@ def class_links(shared: DataFrame, points: DataFrame, classes: DataFrame, docs:
         lists = first.where(F.col("k") <= most).groupBy("cid").agg(F.collect_list("key").alias("firsts"))
         return points.join(lists, "cid")
 
-    members = first.where("k <= 2").select("key", "cid").join(carrying(2), "cid").withColumn("root", F.col("cid"))
-    few = written(proposed(members, 2, chain=True).select("a", "b").distinct(), "pairs")  # most classes end in their components here
+    members = written(first.where("k <= 2").select("key", "cid", F.col("cid").alias("root")), "members")
+    few = written(proposed(members, carrying(2), 2, chain=True).select("a", "b").distinct(), "pairs")  # most classes end in their components here
+    forget(members)
     links, checked = verified(few, classes, docs, id_column), few
     roots = written(components(links), "roots")
     left, vectors = shared, written(carrying(FIRST_KEYS), "vectors")
@@ -470,8 +472,9 @@ def class_links(shared: DataFrame, points: DataFrame, classes: DataFrame, docs:
     def opened(rows: DataFrame, most: int) -> DataFrame:
         """The candidates of rows (key, cid, root) under keys that have several components."""
         open_keys = written(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "open")
-        found = written(proposed(rows.join(open_keys, "key", "left_semi").join(vectors, "cid"), most), "pairs")
-        forget(open_keys)
+        members = written(rows.join(open_keys, "key", "left_semi"), "members")
+        found = written(proposed(members, vectors, most), "pairs")
+        forget(open_keys, members)
         return found
 
     def joined(found: DataFrame) -> None:

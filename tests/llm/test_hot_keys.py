@@ -82,7 +82,8 @@ def test_own_blocks_are_never_paired(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 10)
     rows = [(1, k, 0 if k < 100 else k) for k in range(125)] + [(2, k, k) for k in range(4)] + [(3, k, k % 2) for k in range(40)]
     members = spark.createDataFrame(rows, "key long, cid long, root long")
-    dealt = jaccard_join.dealt(members).collect()
+    vectors = members.select("cid").distinct()
+    dealt = jaccard_join.dealt(members, vectors).collect()
     met = {}
     for r in dealt:
         met.setdefault((r.key, r.i, r.j), []).append(r)
@@ -91,5 +92,5 @@ def test_own_blocks_are_never_paired(spark, monkeypatch):
     want = {(key, a, b) for key, a in roots for k2, b in roots if k2 == key and a < b and roots[key, a] != roots[key, b]}
     assert pairs == want
     assert sum(r.root == 0 and r.key == 1 for r in dealt) <= 3 * 100 and not any(len({r.root for r in some}) == 1 for (key, i, j), some in met.items() if key == 1 and i != j)
-    chain = jaccard_join.chained(members.where("key = 1")).collect()
+    chain = jaccard_join.chained(members.where("key = 1"), vectors).collect()
     assert len(chain) <= 2 * 125 and {r.j - r.i for r in chain} == {1}
